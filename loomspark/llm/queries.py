@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, simhash
+from . import exact_dedup, language_id, packing, pii, quality, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op7_packing": packing.op7_packing,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_pii": pii.op9_pii,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLES = {
