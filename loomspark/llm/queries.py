@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, pii, quality, sharding, simhash
+from . import exact_dedup, language_id, licenses, packing, pii, quality, sentencepiece_dropout, sharding, simhash, substring_dedup
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_licenses": licenses.op3_licenses,
     "op4_simhash": simhash.op4_simhash,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+    "op6_sentencepiece": sentencepiece_dropout.op6_sentencepiece,
     "op7_packing": packing.op7_packing,
     "op8_language_id": language_id.op8_language_id,
     "op9_pii": pii.op9_pii,
@@ -16,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_licenses": licenses.SQL,
 }
