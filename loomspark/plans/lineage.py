@@ -30,7 +30,7 @@ Columns = dict[str, frozenset[Origin]]
 
 def table_name(node: Node) -> str:
     """What a source or sink is called in lineage."""
-    c = node.config.get("source_config") or node.config.get("target_config") or node.config
+    c = next((node.config[k] for k in ("source_config", "output_config", "target_config", "config") if node.config.get(k)), node.config)
     return str(c.get("table_name") or c.get("file_path") or c.get("filename") or c.get("path") or c.get("url") or node.label)
 
 
