@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_sharding": sharding.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_licenses": licenses.SQL,
 }

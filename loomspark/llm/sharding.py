@@ -77,3 +77,26 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = assign_shards(rows, "doc_id", [1.0] * SHARDS, grown_weight=1.0)
     rows = number_slots(rows, "shard", "doc_id")
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+# CRC-32 by half bytes: the steps of the reflected polynomial for 0 to 15. Fixed values.
+_STEPS = [0x00000000, 0x1DB71064, 0x3B6E20C8, 0x26D930AC, 0x76DC4190, 0x6B6B51F4, 0x4DB26158, 0x5005713C, 0xEDB88320, 0xF00F9344, 0xD6D6A3E8, 0xCB61B38C, 0x9B64C2B0, 0x86D3D2D4, 0xA00AE278, 0xBDBDF21C]
+_DRAW = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || i), 1, 13))::BIGINT"
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, hex(coalesce(text, '')) AS h,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 6))::BIGINT % 1024 AS bucket
+  FROM documents
+), crc AS (
+  SELECT *, xor(list_reduce(
+    list_transform(range(0, length(h)), lambda i: instr('0123456789ABCDEF', substr(h, (i // 2) * 2 + 2 - i % 2, 1)) - 1),
+    lambda c, x: xor(c >> 4, ({_STEPS}::BIGINT[])[(xor(c, x) & 15) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM d
+), draws AS (
+  SELECT doc_id, arg_max(i, ({_DRAW}, -i)) FILTER (WHERE i < {SHARDS}) AS shard, arg_max(i, ({_DRAW}, -i)) AS grown_shard
+  FROM (SELECT DISTINCT doc_id FROM documents), range(0, {SHARDS} + 1) AS r(i) GROUP BY doc_id
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM crc JOIN draws USING (doc_id)
+"""
