@@ -140,10 +140,12 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def _edges(scanned: DataFrame) -> DataFrame:
     """(row, start, stop, found, pattern, k): one row for each candidate and pattern; k is the seed's kind or null."""
     one = scanned.select("row", "base", F.explode("found").alias("c"))
-    seed = F.filter("base", lambda b: (b["start"] < F.col("c.stop")) & (b["stop"] > F.col("c.start")))
-    one = one.select("row", "c.*", F.get(seed, F.lit(0))["k"].alias("k"))
+    seeds = F.filter("base", lambda b: (b["start"] < F.col("c.stop")) & (b["stop"] > F.col("c.start")))
+    one = one.select("row", "c.*", F.get(seeds, F.lit(0)).alias("seed"))
+    # A seed of several words stands once, at its first word, and has no word to its right here.
+    one = one.where("seed IS NULL OR seed.start >= start").withColumns({"k": F.col("seed.k"), "whole": F.col("seed").isNull() | (F.col("seed.stop") <= F.col("stop")), "found": F.coalesce("seed.found", "found")})
     before = F.concat_ws(" ", F.lit("before"), "left2", "left1")
-    around = F.concat_ws(" ", F.lit("around"), "left1", "right1")
+    around = F.when(F.col("whole"), F.concat_ws(" ", F.lit("around"), "left1", "right1"))
     usable = F.filter(F.array(F.when((F.col("left1") != "") & (F.col("left2") != ""), before), F.when((F.col("left1") != "") & (F.col("right1") != ""), around)), lambda p: p.isNotNull())
     return one.select("row", "start", "stop", F.lower("found").alias("found"), F.explode(usable).alias("pattern"), "k")
 
