@@ -191,6 +191,7 @@ class Executor:
                 state = run.states[node.id]
                 state.output_rows = (state.output_rows or 0) + out[name].count()
                 continue
+            run.states[node.id].memory = size_estimate(df)
             watches[name] = Observation(f"rows {name}")
             df = df.observe(watches[name], F.count(F.lit(1)).alias("n"))
             if uses[node.id, handle] + (uses[node.id, None] if handle else 0) > 1:
@@ -262,8 +263,8 @@ def _observed(watch: Observation, wait: float = 2.0) -> int | None:
 
 
 def size_estimate(df: DataFrame) -> int:
-    """Catalyst's estimate of a DataFrame's bytes."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of a DataFrame's bytes, from file sizes and column widths; nothing runs."""
+    return min(2**63 - 1, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def compare_runs(metrics: DataFrame, first: str, second: str) -> DataFrame:
