@@ -122,6 +122,43 @@ def unsynced(log: DataFrame, table: str, since: int = 0) -> DataFrame:
     return log.filter((F.col("table_name") == table) & (F.col("id") > since)).orderBy("id")
 
 
+class ChangeFeed:
+    """Tables whose changes are followed, and how far each one's log has been taken over."""
+
+    def __init__(self, store: MarkStore, source: object) -> None:
+        self.store, self.source = store, source
+
+    def _key(self, table: str) -> str:
+        return f"{self.source}:{table}"
+
+    def enable(self, table: str) -> bool:
+        """Starts following a table at the log's beginning; a table that is followed already stays where it is."""
+        if self.store.get(self._key(table)) is None:
+            self.store.put(self._key(table), "cdc", {"last_log_id": 0})
+        return True
+
+    def disable(self, table: str) -> None:
+        self.store.clear(self._key(table))
+
+    def enabled(self, table: str) -> bool:
+        return self.store.get(self._key(table)) is not None
+
+    def changes(self, log: DataFrame, table: str) -> tuple[DataFrame, Callable[[], int]]:
+        """(log rows not taken over yet, commit): commit moves on past these rows, not past later ones."""
+        held = self.store.get(self._key(table))
+        if held is None:
+            raise KeyError(f"changes of {table!r} aren't followed")
+        since = held["watermark_value"]["last_log_id"]
+        top = log.filter(F.col("table_name") == table).agg(F.max("id")).first()[0] or since
+        rows = unsynced(log, table, since).filter(F.col("id") <= top)
+
+        def commit() -> int:
+            self.store.put(self._key(table), "cdc", {"last_log_id": max(top, since)})
+            return max(top, since)
+
+        return rows, commit
+
+
 def latest_images(log: DataFrame, schema: str, order: str = "id") -> DataFrame:
     """The last change of each record, deletions left out, as columns: what applying the log to an empty table gives."""
     last = log.groupBy("record_id").agg(F.max_by(F.struct("operation_type", "record_data"), F.col(order)).alias("x"))

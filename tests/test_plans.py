@@ -164,5 +164,21 @@ def test_snapshot_changes(spark):
     assert {(r.operation_type, r.record_id) for r in log.collect()} == {("DELETE", "1"), ("UPDATE", "2"), ("INSERT", "4")}
 
 
+def test_change_feed_gives_each_change_once(spark, tmp_path):
+    feed, seen = incremental.ChangeFeed(incremental.MarkStore(str(tmp_path / "m.json")), 1), []
+    with pytest.raises(KeyError):
+        feed.changes(spark.createDataFrame([], "id long, table_name string"), "t")
+    feed.enable("t")
+    for top in (3, 3, 7):
+        log = spark.range(1, top + 1).selectExpr("id", "if(id % 2 = 0, 't', 'u') AS table_name")
+        rows, commit = feed.changes(log, "t")
+        seen += [r.id for r in rows.collect()]
+        commit()
+        feed.enable("t")
+    assert seen == [2, 4, 6]
+    feed.disable("t")
+    assert not feed.enabled("t")
+
+
 def test_highlight():
     assert lineage.highlight([("a", "b"), ("b", "c"), ("x", "c")], "b") == {"a", "b", "c"}
