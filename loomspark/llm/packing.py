@@ -1,7 +1,7 @@
 """Operator 7: packing token sequences by lexical retrieval.
 
-Documents are tokenised once and dealt into shards of about SHARD_TOKENS tokens by their rarest shared token, so that texts
-on like matters meet. A shard is an inverted index with BM25 weights (term statistics are the whole corpus's; terms are
+Documents are tokenised once and dealt into shards of about SHARD_TOKENS tokens by their rarest token, so that texts on like
+matters meet. A shard is an inverted index with BM25 weights (term statistics are the whole corpus's; terms are
 token ids, so the table of them has the vocabulary's size). Its documents are seeds in turn: the seed opens a window, and
 its unused neighbours fill it by falling score; the one that overflows is cut, and its rest stays unused. Every window of a
 shard is full but the last.
@@ -16,12 +16,14 @@ columns are not read.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +34,13 @@ from .common import staged, table
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, SHARD_ROWS = 1_000_000, 4096
 K1, B = 1.2, 0.75
-#: Words that a worker remembers at most.
+#: Words, and parts of words, that a worker remembers: so many of late, and as many of before.
 MEMO = 400_000
-_CHUNK = re.compile("[^\x20\x09-\x0d]+")
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict = {}
+#: How the tokenizer splits a word, for words of the letters below, where versions of Unicode agree.
+_SIMPLE = regex.compile("[\x21-\x7e\u00a1-\u00ac\u00ae-\u024f]+")
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_ASCII_PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 def default_tokenizer() -> str:
@@ -44,70 +49,125 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _load(path: str) -> tuple:
-    if path not in _LOADED:
-        import os
+class Memo:
+    """A bounded memo of two generations: what is used stays, what isn't is forgotten in time."""
+
+    def __init__(self) -> None:
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def missing(self, keys: set[bytes]) -> list[bytes]:
+        """Those of `keys` that aren't known; afterwards the rest are in `now`."""
+        if len(self.now) + len(keys) > MEMO and self.now:
+            self.before, self.now = self.now, {}
+        out, before = [], self.before
+        for k in keys.difference(self.now):
+            if k in before:
+                self.now[k] = before[k]
+            else:
+                out.append(k)
+        return out
+
+
+class Tokens:
+    """The tokenizer behind memos of words and parts. It treats what stands between white space on its own, and in words
+    of simple letters each part that its own pattern makes."""
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        _LOADED[path] = (tok, {}, np.dtype("<u2") if tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4"))
+        self.tok = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.words, self.parts = Memo(), Memo()
+        self.end = np.array([END_ID], self.dtype).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text and the end id, as little-endian numbers of 2 bytes where the vocabulary allows, else 4."""
+        split, seen = [], set()
+        for text in texts:
+            data = text.encode("utf-8", "surrogatepass")
+            if b"<|" not in data:  # which may be a special token, and those have a case
+                data = data.lower()
+            split.append(words := data.split())
+            seen.update(words)
+        new = self.words.missing(seen)
+        for lo in range(0, len(new), 20_000):
+            self._learn(new[lo : lo + 20_000])
+        known = self.words.now
+        return [b"".join([*map(known.__getitem__, words), self.end]) for words in split]
+
+    def forget(self) -> None:
+        self.words, self.parts = Memo(), Memo()
+
+    def _learn(self, words: list[bytes]) -> None:
+        split, whole = {}, []
+        for w in words:
+            if w.isascii() and b"<|" not in w:
+                split[w] = _ASCII_PART.findall(w.lower())
+                continue
+            text = w.decode("utf-8", "surrogatepass")
+            if _SIMPLE.fullmatch(text) and "<|" not in text:
+                split[w] = [p.encode() for p in _PART.findall(text.lower())]
+            else:
+                whole.append((w, text))
+        new = self.parts.missing({p for ps in split.values() for p in ps})
+        for p, e in zip(new, self.tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+            self.parts.now[p] = np.array(e.ids, self.dtype).tobytes()
+        parts, known = self.parts.now, self.words.now
+        for w, ps in split.items():
+            known[w] = b"".join([parts[p] for p in ps])
+        for (w, _), e in zip(whole, self.tok.encode_batch_fast([t for _, t in whole], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, self.dtype).tobytes()
+
+
+def _load(path: str) -> Tokens:
+    if path not in _LOADED:
+        _LOADED[path] = Tokens(path)
     return _LOADED[path]
 
 
-def tokenize(text: str, path: str) -> bytes:
-    """Ids of the text and the end id, as little-endian numbers of 2 bytes where the vocabulary allows, else 4."""
-    tok, memo, kind = _load(path)
-    words = _CHUNK.findall(text)
-    new = list({w for w in words if w not in memo})
-    if new:
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(set(words))
-        for lo in range(0, len(new), 50_000):
-            some = new[lo : lo + 50_000]
-            for w, e in zip(some, tok.encode_batch(some, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, kind).tobytes()
-    return b"".join([*map(memo.__getitem__, words), np.array([END_ID], kind).tobytes()])
-
-
 def _dtype(path: str) -> str:
-    return _load(path)[2].str
+    return _load(path).dtype.str
 
 
 def token_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Staged (row, doc_id, ids, n): each document's ids and their number; row numbers tell repeated ids apart."""
+    """Staged (row, doc_id, ids, n, key): each document's ids, their number, and its last id in the vocabulary's order, in which
+    later ids are later merges and so rarer words; row numbers tell repeated ids apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = _load(path)[2].itemsize
+        own = _load(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [tokenize(t or "", path) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
+                ids = own.encode_all([t or "" for t in part.column(1).to_pylist()])
+                keys = [int(np.frombuffer(x, own.dtype).max()) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "ids", "n", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ids binary, n long")
+    out = docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ids binary, n long, key long")
     return staged(out.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
-def term_statistics(tokens: DataFrame, kind: str) -> np.ndarray:
-    """In how many documents each token id is: at most as many numbers as the vocabulary has."""
+def term_statistics(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
+    """In how many documents each of the vocabulary's `size` ids is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
+        total, place = np.zeros(size, np.int64), np.zeros(size, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                own = np.unique(np.frombuffer(ids, kind))
-                if own[-1] >= len(total):
-                    total = np.concatenate([total, np.zeros(int(own[-1]) + 1 - len(total), np.int64)])
-                total[own] += 1
+                own = np.frombuffer(ids, kind)
+                at = np.arange(len(own))
+                place[own] = at  # the last of equal ids
+                total[own[place[own] == at]] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["t", "n"])
 
     rows = tokens.select("ids").mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([r.t for r in rows], default=0) + 1, np.int64)
+    out = np.zeros(size, np.int64)
     for r in rows:
         out[r.t] = r.n
     return out
@@ -190,22 +250,18 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", window: i
     spark = docs.sparkSession
     tokens = token_table(docs, path, text)
     kind = _dtype(path)
-    df = term_statistics(tokens, kind)
+    df = term_statistics(tokens, kind, _load(path).tok.get_vocab_size())
     got = tokens.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).first()
     n_docs, shards = got.docs, max(1, math.ceil((got.tokens or 0) / SHARD_TOKENS), math.ceil(got.docs / SHARD_ROWS))
     shared = spark.sparkContext.broadcast(df)  # the vocabulary's size
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.where(shared.value >= 2, shared.value, np.iinfo(np.int64).max)
-        for batch in batches:
-            keys = [int(own[np.argmin(often[own])]) for own in (np.unique(np.frombuffer(x, kind)) for x in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
-
-    dealt = tokens.select("doc_id", "ids", "row").mapInArrow(rarest, f"doc_id {doc_type}, ids binary, row long, key long")
+    dealt = tokens.select("doc_id", "ids", "row", "key")
     dealt = dealt.withColumn("mix", F.xxhash64("row")).repartitionByRange(shards, "key", "mix").sortWithinPartitions("key", "mix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _LOADED.values():
+            own.forget()  # a worker that goes on from the tokens needs its memory now
         ids_of, texts = [], []
         for batch in batches:
             ids_of += batch.column(0).to_pylist()
