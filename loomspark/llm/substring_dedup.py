@@ -181,29 +181,32 @@ def repeated_runs(docs: DataFrame, text: str = "text") -> DataFrame:
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     rows = _bytes(docs, text).where(F.octet_length("data") >= LENGTH)
     sampled = staged(_sampled(rows, id_type, id_sql), "sampled")
-    twice = sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("_name"))
+    # Staged, as are the counts below: a join with a plain table can split a name that very many rows have.
+    twice = staged(sampled.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("name").alias("_name")), "twice")
     hot = sampled.join(twice, sampled.name == twice._name).groupBy(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).agg(F.collect_set("at").alias("hot"))
     cut = rows.join(hot, same([F.col("doc_id"), F.col("print")], [F.col("_id"), F.col("_print")])).select("doc_id", "print", "data", "hot")
     parts = staged(_fragments(cut, id_type, id_sql).withColumn("part_id", F.monotonically_increasing_id()), "parts")
-    unstage(sampled)
+    unstage(sampled, twice)
     where = parts.select("part_id", "doc_id", "print", "near", "far", "places")
     nodes = parts.select("part_id", F.lit(0).alias("lo"), F.lit(REACH - 1).alias("hi"), F.lit(True).alias("open"), "times", "whole", "common")
     source, old, found = parts.select("part_id", "part", "left", "near", "far"), [], []
     while True:
         # One pass counts equal wholes; one of them then stands for all in the count of equal commons.
-        wholes = nodes.where("whole IS NOT NULL").groupBy("lo", "whole").agg(F.sum("times").alias("n"), F.min("part_id").alias("keeper"))
-        fate = nodes.join(wholes.select(F.col("lo").alias("_lo"), F.col("whole").alias("_whole"), "n", "keeper"), (F.col("lo") == F.col("_lo")) & (F.col("whole") == F.col("_whole")), "left")
-        fate = fate.select("part_id", "lo", "hi", "open", "times", "common", (F.coalesce("n", F.lit(1)) > 1).alias("repeats"), (F.col("keeper").isNull() | (F.col("keeper") == F.col("part_id"))).alias("keeps"))
+        wholes = nodes.where("whole IS NOT NULL").groupBy("lo", "whole").agg(F.sum("times").alias("n"), F.min("part_id").alias("keeper")).where("n > 1")
+        wholes = staged(wholes.select(F.col("lo").alias("_lo"), F.col("whole").alias("_whole"), "keeper"), "wholes")
+        fate = nodes.join(wholes, (F.col("lo") == F.col("_lo")) & (F.col("whole") == F.col("_whole")), "left")
+        fate = fate.select("part_id", "lo", "hi", "open", "times", "common", F.col("keeper").isNotNull().alias("repeats"), (F.col("keeper").isNull() | (F.col("keeper") == F.col("part_id"))).alias("keeps"))
         fate = staged(fate, "fate")
         found.append(fate.where("open AND repeats").select("part_id", "lo", "hi"))
         still = F.col("open") & ~F.col("repeats")
         groups = fate.groupBy("lo", "common").agg(F.sum(F.when(F.col("keeps"), F.col("times"))).alias("members"), F.max(still).alias("asked")).where("members > 1 AND asked")
-        more = fate.join(groups.select(F.col("lo").alias("_lo"), F.col("common").alias("_common")), (F.col("lo") == F.col("_lo")) & (F.col("common") == F.col("_common")), "left_semi")
+        groups = staged(groups.select(F.col("lo").alias("_lo"), F.col("common").alias("_common")), "groups")
+        more = fate.join(groups, (F.col("lo") == F.col("_lo")) & (F.col("common") == F.col("_common")), "left_semi")
         more = more.where((F.col("hi") > F.col("lo")) & (still | F.col("keeps"))).select("part_id", "lo", "hi", still.alias("open"))
         jobs = more.groupBy(F.col("part_id").alias("_part_id")).agg(F.collect_list(F.struct("lo", "hi", "open")).alias("jobs"))
         ready = source.join(jobs, source.part_id == jobs._part_id).select("part_id", "part", "left", "near", "far", "jobs")
         told = staged(_split(ready), "told")
-        old.append(fate)
+        old += [fate, wholes, groups]
         if told.isEmpty():
             old.append(told)
             break
