@@ -33,6 +33,8 @@ from .common import staged, table
 
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, SHARD_ROWS = 1_000_000, 4096
+#: A task packs its shards one after the other, at most about so many.
+TASK_SHARDS = 64
 K1, B = 1.2, 0.75
 #: Words, and parts of words, that a worker remembers: so many of late, and as many of before.
 MEMO = 400_000
@@ -75,9 +77,12 @@ class Tokens:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # For parts, which are normalised and split already, only the merges are left to do.
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.words, self.parts = Memo(), Memo()
         self.end = np.array([END_ID], self.dtype).tobytes()
@@ -115,7 +120,7 @@ class Tokens:
             else:
                 whole.append((w, text))
         new = self.parts.missing({p for ps in split.values() for p in ps})
-        for p, e in zip(new, self.tok.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
+        for p, e in zip(new, self.bare.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
             self.parts.now[p] = np.array(e.ids, self.dtype).tobytes()
         parts, known = self.parts.now, self.words.now
         for w, ps in split.items():
@@ -257,36 +262,47 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", window: i
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     dealt = tokens.select("doc_id", "ids", "row", "key")
-    dealt = dealt.withColumn("mix", F.xxhash64("row")).repartitionByRange(shards, "key", "mix").sortWithinPartitions("key", "mix")
+    parts = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), math.ceil(shards / TASK_SHARDS))
+    dealt = dealt.withColumn("mix", F.xxhash64("row")).repartitionByRange(parts, "key", "mix").sortWithinPartitions("key", "mix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in _LOADED.values():
             own.forget()  # a worker that goes on from the tokens needs its memory now
-        ids_of, texts = [], []
-        for batch in batches:
-            ids_of += batch.column(0).to_pylist()
-            texts += [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
-        if not texts:
-            return
-        lengths = [len(x) for x in texts]
-        seq, rows = TaskContext.get().partitionId() << 33, []
-        for pieces in pack_shard(lengths, [x[len(x) - len(x) % window :] for x in texts], shared.value, n_docs, window):
-            offset = 0
-            for i, start, n in pieces:
-                rows.append((ids_of[i], start, n, zlib.crc32(texts[i][start : start + n].astype("<u4").tobytes()), lengths[i], seq, offset))
-                offset += n
-            seq += 1
-            if len(rows) > 20_000:
+        part, windows = TaskContext.get().partitionId() << 33, 0
+        for ids_of, texts in _shards(batches, kind):
+            lengths, rows = [len(x) for x in texts], []
+            for pieces in pack_shard(lengths, [x[len(x) - len(x) % window :] for x in texts], shared.value, n_docs, window):
+                offset = 0
+                for i, start, n in pieces:
+                    rows.append((ids_of[i], start, n, zlib.crc32(texts[i][start : start + n].astype("<u4").tobytes()), lengths[i], part + windows, offset))
+                    offset += n
+                windows += 1
+                if len(rows) > 20_000:
+                    yield _batch(rows, id_type)
+                    rows = []
+            if rows:
                 yield _batch(rows, id_type)
-                rows = []
-        if rows:
-            yield _batch(rows, id_type)
 
     id_type = to_arrow_type(docs.schema["doc_id"].dataType)
     out = dealt.select("doc_id", "ids").mapInArrow(run, f"doc_id {doc_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out
 
 
+def _shards(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    """The rows in order, cut where a shard is full."""
+    ids_of, texts, size = [], [], 0
+    for batch in batches:
+        for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids_of.append(doc_id)
+            texts.append(np.frombuffer(data, kind))
+            size += len(texts[-1])
+            if size >= SHARD_TOKENS or len(texts) >= SHARD_ROWS:
+                yield ids_of, texts
+                ids_of, texts, size = [], [], 0
+    if texts:
+        yield ids_of, texts
+
+
 def _batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays([pa.array(cols[0], id_type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
