@@ -77,7 +77,11 @@ def samples(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
         out.append((at[first] + base, h[at[first]].view(np.int64), first + base, last + base))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    at, name, first, last = (np.concatenate(c) for c in zip(*out, strict=True))
+    # A run that crosses the edge of a piece came out in two.
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    ends = np.concatenate([starts[1:] - 1, [len(at) - 1]])
+    return at[starts], name[starts], first[starts], last[ends]
 
 
 def _bytes(docs: DataFrame, text: str) -> DataFrame:

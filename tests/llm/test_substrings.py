@@ -52,3 +52,20 @@ def test_equal_strings_choose_the_same_place():
         k = next(k for k in range(len(at)) if first[k] <= len(before) <= last[k])
         places.add(int(at[k]) - len(before))
     assert len(places) == 1
+
+
+def test_runs_across_the_edge_of_a_piece_are_one(monkeypatch):
+    rnd = random.Random(11)
+    data = bytes(rnd.choice(b"abcd ") for _ in range(6000))
+    whole = [c.tolist() for c in substring_dedup.samples(data)]
+    monkeypatch.setattr(substring_dedup, "_PIECE", 500)
+    assert [c.tolist() for c in substring_dedup.samples(data)] == whole
+
+
+def test_long_documents_keep_their_unique_text(spark, monkeypatch):
+    rnd = random.Random(12)  # two documents over a piece long; workers have the module's own piece
+    long = ["".join(rnd.choices("abcd ", k=substring_dedup._PIECE + 3000)) for _ in range(2)]
+    at = substring_dedup._PIECE - 200
+    rows = [(1, long[0]), (2, long[1]), (3, "xyz" + long[0][at : at + 900]), (4, long[1][:500])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(spark, df, monkeypatch) == by_hand(rows)
