@@ -1,7 +1,7 @@
 """Operator 7: packing token sequences by lexical retrieval.
 
-Documents are tokenised once and dealt into shards of about SHARD_TOKENS tokens by their rarest token, so that texts on like
-matters meet. A shard is an inverted index with BM25 weights (term statistics are the whole corpus's; terms are
+Documents are tokenised once and dealt into shards of about SHARD_TOKENS tokens by their rarest shared token (the one in
+fewest documents, of those in two or more), so that texts on like matters meet. A shard is an inverted index with BM25 weights (term statistics are the whole corpus's; terms are
 token ids, so the table of them has the vocabulary's size). Its documents are seeds in turn: the seed opens a window, and
 its unused neighbours fill it by falling score; the one that overflows is cut, and its rest stays unused. Every window of a
 shard is full but the last.
@@ -27,6 +27,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import staged, table
@@ -140,8 +141,7 @@ def _dtype(path: str) -> str:
 
 
 def token_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Staged (row, doc_id, ids, n, key): each document's ids, their number, and its last id in the vocabulary's order, in which
-    later ids are later merges and so rarer words; row numbers tell repeated ids apart."""
+    """Staged (row, doc_id, ids, n): each document's ids and their number; row numbers tell repeated ids apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _load(path)
@@ -149,11 +149,10 @@ def token_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids = own.encode_all([t or "" for t in part.column(1).to_pylist()])
-                keys = [int(np.frombuffer(x, own.dtype).max()) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64()), pa.array(keys, pa.int64())], names=["doc_id", "ids", "n", "key"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // own.dtype.itemsize for x in ids], pa.int64())], names=["doc_id", "ids", "n"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ids binary, n long, key long")
+    out = docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, ids binary, n long")
     return staged(out.withColumn("row", F.monotonically_increasing_id()), "tokens")
 
 
@@ -178,6 +177,27 @@ def term_statistics(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
     return out
 
 
+def rarity(df: np.ndarray) -> np.ndarray:
+    """Each id's rank by the documents that it is in, those of one document alone last."""
+    out = np.empty(len(df), np.int64)
+    out[np.lexsort((np.arange(len(df)), df, df < 2))] = np.arange(len(df))
+    return out
+
+
+def keyed(tokens: DataFrame, kind: str, df: np.ndarray) -> DataFrame:
+    """(doc_id, row, ids, key): key is the rank of each document's rarest shared id."""
+    shared = tokens.sparkSession.sparkContext.broadcast(rarity(df))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = shared.value
+        for batch in batches:
+            keys = [int(rank[np.frombuffer(ids, kind)].min()) for ids in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "key"])
+
+    rows = tokens.select("doc_id", "row", "ids")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())]))
+
+
 class Index:
     """BM25 over the pieces of one shard."""
 
@@ -261,7 +281,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", window: i
     shared = spark.sparkContext.broadcast(df)  # the vocabulary's size
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
-    dealt = tokens.select("doc_id", "ids", "row", "key")
+    dealt = keyed(tokens, kind, df)
     parts = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), math.ceil(shards / TASK_SHARDS))
     dealt = dealt.withColumn("mix", F.xxhash64("row")).repartitionByRange(parts, "key", "mix").sortWithinPartitions("key", "mix")
 

@@ -75,6 +75,20 @@ def test_bm25_finds_the_like_document():
     assert abs(score[20] - want) < 1e-9
 
 
+def test_documents_are_dealt_by_their_rarest_shared_token(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = packing.default_tokenizer()
+    tokens, kind = packing.token_table(docs, path), packing._dtype(path)
+    df = packing.term_statistics(tokens, kind, packing._load(path).tok.get_vocab_size())
+    order = np.argsort(packing.rarity(df))
+    rows = packing.keyed(tokens, kind, df).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        own = np.unique(np.frombuffer(r.ids, kind))
+        shared = own[df[own] > 1]
+        assert df[order[r.key]] == (df[shared].min() if len(shared) else 1)
+
+
 MODEL = sp.default_model()
 
 
