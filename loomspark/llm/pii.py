@@ -38,6 +38,8 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: The inner part of a candidate: from its first to its last letter, digit or plus sign.
 CORE = r"[\p{L}\p{N}+](?:.*[\p{L}\p{N}])?"
+#: Dotted groups of digits (a port or mask may follow), or three groups or more with colons, of which one may be empty.
+IP_SHAPE = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){2,}(?:[:/][0-9]+)?|[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,}(?:/[0-9]+)?)$"
 CONTEXT = 80
 ROUNDS, SUPPORT, CONFIDENCE, MIN_SCORE, LEAST_SEEDS, LEAST_DIGITS = 3, 1.0, 0.8, 0.8, 3, 6
 
@@ -150,6 +152,17 @@ def _edges(scanned: DataFrame) -> DataFrame:
     return one.select("row", "start", "stop", F.lower("found").alias("found"), F.explode(usable).alias("pattern"), "k")
 
 
+def _shaped(found: Column, k: Column) -> Column:
+    """Whether a word has the shape of its kind: e-mail an @ between letters or digits, ip groups with dots or colons, card and
+    phone LEAST_DIGITS digits."""
+    digits = F.length(F.regexp_replace(found, "[^0-9]", "")) >= LEAST_DIGITS
+    shapes = {"email": found.rlike(r"[\p{L}\p{N}]@[\p{L}\p{N}]"), "ip": found.rlike(IP_SHAPE)}
+    out = digits
+    for kind, shape in shapes.items():
+        out = F.when(k == KINDS.index(kind), shape).otherwise(out)
+    return out
+
+
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(found, k, score): instances that aren't seeds and that high-confidence patterns discover, each with its best kind."""
     links = staged(edges.groupBy("pattern", "found").agg(F.max("k").alias("seed")), "links")
@@ -168,7 +181,7 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         unstage(getattr(score, "_origin", None))
         score = fresh.select("found", "k", "instance")
         score._origin = fresh
-    sure = fresh.where((F.col("best") >= CONFIDENCE) & (F.col("instance") >= MIN_SCORE) & (F.length(F.regexp_replace("found", "[^0-9]", "")) >= LEAST_DIGITS))
+    sure = fresh.where((F.col("best") >= CONFIDENCE) & (F.col("instance") >= MIN_SCORE) & _shaped(F.col("found"), F.col("k")))
     best = sure.groupBy("found").agg(F.max(F.struct("instance", (-F.col("k")).alias("nk"))).alias("x"))
     return best.select("found", (-F.col("x.nk")).alias("k"), F.col("x.instance").alias("score"))
 

@@ -57,6 +57,29 @@ def test_patterns_find_what_the_base_misses(spark):
     assert masked[50] == "please call phone number [PHONE] today" and masked[51] == rows[-1][1] and masked[3] == "please call phone number [PHONE] today"
 
 
+def test_each_kind_is_discovered_by_its_own_shape(spark):
+    cards = ["4111 1111 1111 1111", "5500005555555559", "4012 8888 8888 1881", "4222222222222220", "6011 1111 1111 1117"]
+    cards = [c for c in cards if holds("card", c)]
+    seeds = {
+        "email": ("please write mailbox", [f"user{k}@site{k}.example" for k in range(8)]), "ip": ("reach the server", [f"10.0.{k}.7" for k in range(8)]),
+        "card": ("charged my card", cards), "phone": ("ring telephone number", [f"+1 (555) 000-{1000 + k}" for k in range(8)]),
+    }
+    missed = {"email": ["root@localhost", "zoë@site.example"], "ip": ["fe80::1", "300.1.2.3"], "card": ["4111-1111-11"], "phone": ["555-019-9999x"]}
+    plain = {"email": "at@", "ip": "12.5", "card": "12345", "phone": "1234"}
+    rows, want = [], {}
+    for kind, (lead, found) in seeds.items():
+        rows += [(len(rows) + k, f"{lead} {x} today") for k, x in enumerate(found)]
+        for x in missed[kind]:
+            want[len(rows)] = (x, kind)
+            rows.append((len(rows), f"{lead} {x} today"))
+        want[len(rows)] = None
+        rows.append((len(rows), f"{lead} {plain[kind]} today"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.found, pii.KINDS[s.k]) for s in r.spans] for r in pii.find(df).collect()}
+    for d, x in want.items():
+        assert got[d] == ([x] if x else []), rows[d]
+
+
 def test_masking(spark):
     df = odd(spark)
     out = pii.mask(df)
