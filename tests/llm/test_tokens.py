@@ -115,3 +115,9 @@ def test_round_trip_of_odd_documents(spark):
     assert set(df.columns) <= set(back.columns) and back.where("NOT text <=> decoded").count() == 0 and back.count() == df.count()
     assert back.where("text IS NULL AND ids IS NOT NULL").count() == 0
     assert sp.decode(sp.encode(df.limit(0))).count() == 0
+
+
+def test_equal_words_are_cut_in_four_ways_or_more(spark):
+    text = "international understanding of considerable misrepresentation " * 20
+    df = spark.createDataFrame([(k, text) for k in range(200)], "doc_id long, text string")
+    assert len({tuple(r.ids) for r in sp.encode(df).collect()}) >= 4
