@@ -6,7 +6,8 @@ token ids, so the table of them has the vocabulary's size). Its documents are se
 its unused neighbours fill it by falling score; the one that overflows is cut, and its rest stays unused. Every window of a
 shard is full but the last.
 
-Words are tokenised through a bounded memo, since the tokenizer treats what stands between white space on its own.
+Words are tokenised through a memo of bounded size, since the tokenizer treats what stands between white space on its own.
+Words of the memo are told apart by 64-bit keys.
 
 Defined cases: a null or empty text has the end id alone; rows that repeat an id are packed each for itself, and so are
 copies; a document longer than a window fills windows of its own and its rest is packed; an empty table gives no rows; other
@@ -15,15 +16,16 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +33,24 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import staged, table
+from .hashed import Map, Runs, Spans
 
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, SHARD_ROWS = 1_000_000, 4096
 #: A task packs its shards one after the other, at most about so many.
-TASK_SHARDS = 64
+TASK_SHARDS = 16
 K1, B = 1.2, 0.75
-#: Words, and parts of words, that a worker remembers: so many of late, and as many of before.
-MEMO = 400_000
+#: Words that a worker remembers, half of 2^MEMO_BITS, and their ids in all; when there are more it begins anew.
+MEMO_BITS, MEMO_IDS = 21, 8 << 20
+#: Longer words are left to the tokenizer alone. Texts are taken so many bytes at a time; longer ones go word by word.
+LONG_WORD, CHUNK = 200, 1 << 20
 _LOADED: dict = {}
-#: How the tokenizer splits a word, for words of the letters below, where versions of Unicode agree.
-_SIMPLE = regex.compile("[\x21-\x7e\u00a1-\u00ac\u00ae-\u024f]+")
-_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-_ASCII_PART = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words of letters up to U+017F, each of which is lower-cased to one of them (but for U+0130).
+_SIMPLE = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xac\xae-\xbf]|[\xc3\xc5][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf])+")
+_RANGE = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180))]
+_LETTERS, _NUMBERS = ("".join(re.escape(c) for c in _RANGE if unicodedata.category(c)[0] == k) for k in "LN")
+#: How the tokenizer splits such words; a line feed stands between them here.
+_PART = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|\n|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 
 def default_tokenizer() -> str:
@@ -52,82 +59,138 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Memo:
-    """A bounded memo of two generations: what is used stays, what isn't is forgotten in time."""
+class Merges:
+    """A tokenizer's byte-pair merges on parts that are normalised and split already, through ranks of byte strings.
 
-    def __init__(self) -> None:
-        self.now: dict[bytes, bytes] = {}
-        self.before: dict[bytes, bytes] = {}
+    A zero byte after each part stands for the vocabulary's mark of a part's end. Merging by rank gives the tokenizer's own
+    ids, as each token comes of one merge alone; ValueError for another sort of vocabulary.
+    """
 
-    def missing(self, keys: set[bytes]) -> list[bytes]:
-        """Those of `keys` that aren't known; afterwards the rest are in `now`."""
-        if len(self.now) + len(keys) > MEMO and self.now:
-            self.before, self.now = self.now, {}
-        out, before = [], self.before
-        for k in keys.difference(self.now):
-            if k in before:
-                self.now[k] = before[k]
-            else:
-                out.append(k)
-        return out
+    def __init__(self, tok) -> None:
+        import tiktoken
+
+        model = json.loads(tok.to_str())["model"]
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)).difference(plain)))}
+        mark = model.get("end_of_word_suffix")
+        if model["type"] != "BPE" or not mark or any(c not in model["vocab"] or c + mark not in model["vocab"] for c in of):
+            raise ValueError("not a byte-level vocabulary with marked ends")
+        raw = lambda t: bytes(map(of.__getitem__, t.removesuffix(mark))) + b"\0" * t.endswith(mark)
+        tokens = [*of, *(c + mark for c in of), *("".join(m) for m in model["merges"])]
+        ranks = {raw(t): k for k, t in enumerate(tokens)}
+        if len(ranks) < len(tokens):
+            raise ValueError("several merges make one token")
+        self.ids = np.array([model["vocab"][t] for t in tokens])
+        self.last = np.array([t.endswith(mark) for t in tokens])
+        self.coder = tiktoken.Encoding("merges", pat_str="[^\0]+\0", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All the parts' ids, and where each part's end."""
+        got = np.array(self.coder.encode_ordinary("\0".join(parts) + "\0"))
+        return self.ids[got], np.flatnonzero(self.last[got]) + 1
 
 
 class Tokens:
-    """The tokenizer behind memos of words and parts. It treats what stands between white space on its own, and in words
-    of simple letters each part that its own pattern makes."""
+    """The tokenizer behind a memo of words, since it treats what stands between white space on its own.
+
+    The memo goes by 64-bit keys of the words' bytes and is a few flat arrays; the words of many texts are looked up at once.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # For parts, which are normalised and split already, only the merges are left to do.
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.tok = Tokenizer.from_file(path)
+        try:
+            self.merges = Merges(self.tok)
+        except ValueError:
+            self.merges = None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.words, self.parts = Memo(), Memo()
         self.end = np.array([END_ID], self.dtype).tobytes()
+        self.spans = Spans(CHUNK)
+        self.filled = np.ones(256, bool)
+        self.filled[list(b" \t\n\r\x0b\x0c")] = False
+        self.forget()
+
+    def forget(self) -> None:
+        self.map, self.ids = Map(MEMO_BITS), Runs(self.dtype)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian numbers of 2 bytes where the vocabulary allows, else 4."""
-        split, seen = [], set()
+        out, group, size = [], [], 0
         for text in texts:
             data = text.encode("utf-8", "surrogatepass")
             if b"<|" not in data:  # which may be a special token, and those have a case
                 data = data.lower()
-            split.append(words := data.split())
-            seen.update(words)
-        new = self.words.missing(seen)
-        for lo in range(0, len(new), 20_000):
-            self._learn(new[lo : lo + 20_000])
-        known = self.words.now
-        return [b"".join([*map(known.__getitem__, words), self.end]) for words in split]
-
-    def forget(self) -> None:
-        self.words, self.parts = Memo(), Memo()
-
-    def _learn(self, words: list[bytes]) -> None:
-        split, whole = {}, []
-        for w in words:
-            if w.isascii() and b"<|" not in w:
-                split[w] = _ASCII_PART.findall(w.lower())
-                continue
-            text = w.decode("utf-8", "surrogatepass")
-            if _SIMPLE.fullmatch(text) and "<|" not in text:
-                split[w] = [p.encode() for p in _PART.findall(text.lower())]
+            if size + len(data) + 1 > CHUNK:
+                out += self._together(group)
+                group, size = [], 0
+            if len(data) >= CHUNK:
+                out.append(self._alone(data))
             else:
-                whole.append((w, text))
-        new = self.parts.missing({p for ps in split.values() for p in ps})
-        for p, e in zip(new, self.bare.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.parts.now[p] = np.array(e.ids, self.dtype).tobytes()
-        parts, known = self.parts.now, self.words.now
-        for w, ps in split.items():
-            known[w] = b"".join([parts[p] for p in ps])
-        for (w, _), e in zip(whole, self.tok.encode_batch_fast([t for _, t in whole], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
+                group.append(data)
+                size += len(data) + 1
+        return out + self._together(group)
+
+    def _alone(self, data: bytes) -> bytes:
+        words = data.split()
+        known: dict[bytes, bytes] = {}
+        for lo in range(0, len(words), 50_000):
+            new = list(set(words[lo : lo + 50_000]).difference(known))
+            ids, sizes = self._encode(new)
+            stops = (np.cumsum(sizes) * self.dtype.itemsize).tolist()
+            data = ids.tobytes()
+            known.update((w, data[a:b]) for w, a, b in zip(new, [0, *stops], stops, strict=False))
+        return b"".join([*map(known.__getitem__, words), self.end])
+
+    def _together(self, group: list[bytes]) -> list[bytes]:
+        if not group:
+            return []
+        if self.ids.used > MEMO_IDS or self.map.room() < CHUNK // 2:
+            self.forget()
+        data = b" ".join(group)
+        x = np.frombuffer(data, np.uint8)
+        edge = np.flatnonzero(np.diff(self.filled[x], prepend=False, append=False))
+        starts, stops = edge[::2], edge[1::2]
+        keys = self.spans.keys(x, starts, stops)
+        at = self.map.find(keys)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            own, one, where = np.unique(keys[missing], return_index=True, return_inverse=True)
+            one = missing[one]
+            ids, sizes = self._encode([data[a:b] for a, b in zip(starts[one].tolist(), stops[one].tolist(), strict=True)])
+            first = self.ids.add(ids, sizes)
+            self.map.add(own, np.arange(first, first + len(own)))
+            at[missing] = first + where
+        ids, ends = self.ids.joined(at)
+        lengths = np.array([len(d) for d in group]) + 1
+        last = np.searchsorted(starts, np.cumsum(lengths))  # words up to the end of each text
+        cuts = (np.concatenate([[0], ends])[last] * self.dtype.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[lo:hi] + self.end for lo, hi in zip([0, *cuts], cuts, strict=False)]
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All the words' ids in order, and how many each has."""
+        fit = np.array([self.merges is not None and len(w) <= LONG_WORD and b"<|" not in w and _SIMPLE.fullmatch(w) is not None for w in words])
+        sizes, ids = np.zeros(len(words), np.int64), np.zeros(0, np.int64)
+        simple, whole = np.flatnonzero(fit), np.flatnonzero(~fit).tolist()
+        if len(simple):
+            parts = _PART.findall(b"\n".join([words[k] for k in simple.tolist()]).decode().lower())
+            feed = np.array([p == "\n" for p in parts])
+            ids, stops = self.merges.encode([p for p in parts if p != "\n"])
+            parts_so_far = np.cumsum(~feed)
+            sizes[simple] = np.diff(stops[np.append(parts_so_far[feed], parts_so_far[-1]) - 1], prepend=0)
+        if whole:
+            more = [e.ids for e in self.tok.encode_batch_fast([words[k].decode("utf-8", "surrogatepass") for k in whole], add_special_tokens=False)]
+            sizes[whole] = [len(x) for x in more]
+            both = np.zeros(int(sizes.sum()), np.int64)
+            own = np.repeat(~fit, sizes)
+            both[~own], both[own] = ids, [i for x in more for i in x]
+            ids = both
+        return ids.astype(self.dtype), sizes
 
 
 def _load(path: str) -> Tokens:
