@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from loomspark.llm import packing
+from loomspark.llm import hashed, packing
 from loomspark.llm import sentencepiece_dropout as sp
 
 from .odd import odd, texts
@@ -24,12 +24,69 @@ def test_memo_gives_the_tokenizer_s_own_ids(text):
 
 
 def test_a_small_memo_changes_nothing(monkeypatch):
-    monkeypatch.setattr(packing, "MEMO", 20)
+    monkeypatch.setattr(packing, "MEMO_BITS", 7)
+    monkeypatch.setattr(packing, "CHUNK", 40)
     own = packing.Tokens(packing.default_tokenizer())
     for text in ODD_TEXTS * 2 + [" ".join(f"w{i}" for i in range(90))]:
         assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tok.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_the_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_BITS", 12)
+    monkeypatch.setattr(packing, "CHUNK", 2000)
+    own = packing.Tokens(packing.default_tokenizer())
+    for k in range(100):
+        own.encode_all([" ".join(f"word{k}x{i}" for i in range(100)) + " " + "y" * 500] * 3)
+        assert own.map.held <= 1 << 11 and own.ids.n <= 1 << 12
+
+
+def test_texts_are_encoded_alike_one_by_one_and_together(monkeypatch):
+    own, some = packing.Tokens(packing.default_tokenizer()), ODD_TEXTS * 3
+    want = [own.tok.encode(t, add_special_tokens=False).ids + [1] for t in some]
+    for chunk in (1 << 20, 30):
+        monkeypatch.setattr(packing, "CHUNK", chunk)
+        assert [np.frombuffer(x, own.dtype).tolist() for x in packing.Tokens(packing.default_tokenizer()).encode_all(some)] == want
+
+
+def test_map_and_runs_against_a_dict():
+    rnd, m, want = np.random.default_rng(1), hashed.Map(10), {}
+    for lo in range(0, 500, 50):
+        keys = rnd.integers(0, 1 << 63, 50).astype(np.uint64) >> np.uint64(9 * (lo % 3)) if lo else np.arange(50, dtype=np.uint64)
+        keys = np.array([k for k in np.unique(np.maximum(keys, np.uint64(1))).tolist() if k not in want], np.uint64)
+        m.add(keys, np.arange(len(want), len(want) + len(keys)))
+        want.update(zip(keys.tolist(), range(len(want), len(want) + len(keys))))
+        ask = np.concatenate([np.array(list(want), np.uint64), rnd.integers(0, 1 << 63, 50).astype(np.uint64)])
+        assert m.find(ask).tolist() == [want.get(k, -1) for k in ask.tolist()]
+    runs = hashed.Runs(np.dtype("<u2"))
+    lists = [rnd.integers(0, 9, rnd.integers(0, 4)) for _ in range(40_000)]
+    assert runs.add(np.concatenate(lists), np.array([len(x) for x in lists])) == 0
+    some = rnd.integers(0, 40_000, 1000)
+    data, stops = runs.joined(some)
+    assert data.tolist() == [y for k in some for y in lists[k].tolist()] and stops[-1] == len(data)
+
+
+def test_every_simple_letter_as_the_tokenizer_has_it():
+    own = packing.Tokens(packing.default_tokenizer())
+    letters = [chr(c) for c in range(0x21, 0x250)]
+    for c in letters:
+        if packing._SIMPLE.fullmatch(c.encode()):
+            assert packing._SIMPLE.fullmatch(c.lower().encode())
+    for text in (" ".join(letters), " ".join(f"a{c}b" for c in letters), "".join(letters)):
+        assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tok.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_merges_of_invented_words_as_the_tokenizer_has_them():
+    own, rnd = packing.Tokens(packing.default_tokenizer()), np.random.default_rng(3)
+    pools = ["abcdefghijklmnopqrstuvwxyz", "aeio", "éèaêçñí", "!?.*#$%&-=_", "a", "=", "thingoner'"]
+    words = ["".join(rnd.choice(list(pools[k % len(pools)]), rnd.integers(1, 40))) for k in range(20_000)]
+    text = " ".join(words)
+    assert own.merges is not None
+    assert np.frombuffer(own.encode(text), own.dtype).tolist() == own.tok.encode(text, add_special_tokens=False).ids + [1]
+    own.merges = None
+    own.forget()
+    assert np.frombuffer(own.encode(text[:20_000]), own.dtype).tolist() == own.tok.encode(text[:20_000], add_special_tokens=False).ids + [1]
+
+
 def test_packing_puts_every_id_in_one_piece(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_ROWS", 9)
     df = odd(spark, [(50 + k, "lorem ipsum dolor " * (40 * k)) for k in range(12)])
@@ -117,7 +174,65 @@ def test_round_trip_of_odd_documents(spark):
     assert sp.decode(sp.encode(df.limit(0))).count() == 0
 
 
-def test_equal_words_are_cut_in_four_ways_or_more(spark):
-    text = "international understanding of considerable misrepresentation " * 20
-    df = spark.createDataFrame([(k, text) for k in range(200)], "doc_id long, text string")
-    assert len({tuple(r.ids) for r in sp.encode(df).collect()}) >= 4
+def test_equal_words_of_one_text_are_cut_in_many_ways(spark):
+    v, n = sp._load(MODEL), 200
+    text = " ".join(["international"] * n)
+    ids = np.frombuffer(v.encode(text, 0.1, 1, 5), "<i4").tolist()
+    words = "".join(f"|{i}" if v.decoded[i][:1] == b" " else f",{i}" for i in ids).split("|")[1:]
+    assert len(words) == n and len(set(words)) > 8 and v.decode(ids) == text
+    df = spark.createDataFrame([(k, text) for k in range(20)], "doc_id long, text string")
+    assert len({tuple(r.ids) for r in sp.encode(df).collect()}) == 20
+
+
+def by_agenda(v, word, gaps):
+    """One word by the plain rule: of all adjacent pairs that make a piece and aren't skipped, the best and leftmost comes up."""
+    symbols, skipped, gap, since = [(i, i + 1) for i in range(len(word))], set(), next(gaps, -1), 0
+    while True:
+        pairs = [(v.rank[word[a:c]], a, b, c) for (a, b), (_, c) in zip(symbols, symbols[1:], strict=False) if word[a:c] in v.rank and (a, b, c) not in skipped]
+        if not pairs:
+            break
+        _, a, b, c = min(pairs)
+        if since == gap:
+            skipped.add((a, b, c))
+            gap, since = next(gaps, -1), 0
+            continue
+        symbols = [x for x in symbols if x not in ((a, b), (b, c))] + [(a, c)]
+        symbols.sort()
+        since += 1
+    out = []
+    for a, b in symbols:
+        out += [v.ids[word[a:b]]] if word[a:b] in v.ids else [v.byte[x] for x in word[a:b].encode("utf-8", "surrogatepass")]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_dropout_against_a_plain_agenda(spark, dropout, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(25).collect()
+    texts = [r.text[:3000] for r in docs] + [t for t in ODD_TEXTS if "x" * 100 not in t] + ["international " * 50 + "a" * 45 + " " + "ab" * 60]
+    v = sp.Vocabulary(MODEL)
+    for words, bits in ((sp._WORDS, sp.MEMO_BITS), (40, 7)):  # the memo decides about work alone
+        monkeypatch.setattr(sp, "_WORDS", words)
+        monkeypatch.setattr(sp, "MEMO_BITS", bits)
+        v.forget()
+        got = v.encode_all(texts, list(range(len(texts))), dropout, 9)
+        for k, text in enumerate(texts):
+            want = []
+            if text:
+                for place, word in enumerate(w for ws in v._words(text) for w in ws):
+                    own = sp._occurrence(np.array([k], np.uint64), np.array([place], np.uint64), 9)
+                    want += v.segment(word, iter(()))[0] if word.strip(sp._LITERAL) == "" else by_agenda(v, word, sp._each_gap(own, dropout))
+            assert np.frombuffer(got[k], "<i4").tolist() == want, (k, text[:50])
+
+
+def test_candidates_are_skipped_at_the_rate_of_dropout():
+    own = sp._occurrence(np.arange(200_000, dtype=np.uint64), np.zeros(200_000, np.uint64), 1)
+    gap = sp._gaps(own, 0, 0.1, 63)
+    assert abs((gap == 0).mean() - 0.1) < 0.003 and abs((gap[gap > 0] == 1).mean() - 0.1) < 0.003
+    assert abs((sp._gaps(own[gap == 0], 1, 0.1, 63) == 0).mean() - 0.1) < 0.01
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    v, text = sp._load(MODEL), "some words  of   a text " * 40 + "x" * 300 + "   end "
+    whole = v.encode(text, 0.2, 1, 3)
+    monkeypatch.setattr(sp, "_CHUNK", 7)
+    assert v.encode(text, 0.2, 1, 3) == whole
