@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import staged, table, unstage
 from .components import components
-from .jaccard import without_near_copies
 
 RADIUS, SEED, SHINGLE, BITS = 2, 42, 3, 64
 #: Buckets of more members than this go by centres; a member has BITS + 1 of those.
@@ -39,17 +39,17 @@ PROBE_COST = 4.0
 _MASK = (1 << BITS) - 1
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # both of bytes: ASCII letters and white space only
     if not words:
         return 0
-    n = max(1, len(words) - SHINGLE + 1)
+    n = max(1, len(words) - shingle + 1)
     joined, starts, at = b" ".join(words), [], 0
     view = memoryview(joined)
     for w in words:
         starts.append(at)
         at += len(w) + 1
-    ends = [*[s - 1 for s in starts[SHINGLE:]], len(joined)]
+    ends = [*[s - 1 for s in starts[shingle:]], len(joined)]
     of = xxhash.xxh64_intdigest
     counts = np.zeros(BITS, np.int64)
     for lo in range(0, n, 65536):  # bounded memory for texts of any length
@@ -59,16 +59,16 @@ def fingerprint(text: str | None) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, fp), or another key: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=[key, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long")
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, fp long")
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
@@ -231,7 +231,23 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def near_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Staged (a, b): texts, by hash, that fingerprints of 5-word shingles link, and whose shingles' similarity is 0.8 or more."""
+    texts = docs.select(jaccard.node(text).alias("node"), text)
+    rows = staged(fingerprints(texts, text, "node", jaccard.SHINGLE), "fingerprints")
+    fps = staged(rows.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("_last")), "distinct")
+    # Texts of one fingerprint meet at the first of them, and linked fingerprints at the first text of each.
+    alike = rows.join(fps.where("first <> _last").select(F.col("fp").alias("_fp"), "first"), F.col("fp") == F.col("_fp")).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda end: fps.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
+    linked = links(fps.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    pairs = staged(alike.unionByName(linked).distinct(), "pairs")
+    out = jaccard.verified(pairs, docs, text)
+    unstage(rows, fps, pairs)
+    return out
+
+
 def keep_one_per_component(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies the document with the smallest id stays. Near copies are those of
-    the general rule, a Jaccard similarity of 0.8 or more over 5-word shingles; op4's radius finds almost none of them."""
-    return without_near_copies(docs)
+    the general rule, a Jaccard similarity of 0.8 or more over 5-word shingles: those that fingerprints link, verified, and those
+    that fingerprints are too coarse for."""
+    return jaccard.without_near_copies(docs, known=near_pairs(docs))
