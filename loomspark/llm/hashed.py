@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 #: Odd factors that spread bits.
 SPREAD = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)))
@@ -40,6 +41,36 @@ class Spans:
         return out
 
 
+#: Which bytes are no white space.
+FILLED = np.ones(256, bool)
+FILLED[list(b" \t\n\r\x0b\x0c")] = False
+
+
+def word_edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text's bytes begin and end."""
+    edge = np.flatnonzero(np.diff(FILLED[x], prepend=False, append=False))
+    return edge[::2], edge[1::2]
+
+
+def word_keys(data: bytes, spans: Spans) -> np.ndarray:
+    """The keys of a text's words, whatever its length and theirs."""
+    x = np.frombuffer(data, np.uint8)
+    starts, stops = word_edges(x)
+    if len(x) <= spans.most:
+        return spans.keys(x, starts, stops)
+    out, lo = np.zeros(len(starts), np.uint64), 0
+    while lo < len(starts):
+        at = int(starts[lo])
+        hi = int(np.searchsorted(stops, at + spans.most, side="right"))
+        if hi == lo:  # a word longer than that
+            hi = lo + 1
+            out[lo] = xxhash.xxh64_intdigest(data[at : stops[lo]])
+        else:
+            out[lo:hi] = spans.keys(x[at : stops[hi - 1]], starts[lo:hi] - at, stops[lo:hi] - at)
+        lo = hi
+    return out
+
+
 class Map:
     """Places of 64-bit keys, in a table of open addresses; up to half of its 2^bits slots may be used."""
 

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import staged, table
-from .hashed import Map, Runs, Spans
+from .hashed import Map, Runs, Spans, word_edges
 
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, SHARD_ROWS = 1_000_000, 4096
@@ -41,9 +41,9 @@ SHARD_TOKENS, SHARD_ROWS = 1_000_000, 4096
 TASK_SHARDS = 16
 K1, B = 1.2, 0.75
 #: Words that a worker remembers, half of 2^MEMO_BITS, and their ids in all; when there are more it begins anew.
-MEMO_BITS, MEMO_IDS = 21, 8 << 20
+MEMO_BITS, MEMO_IDS = 20, 4 << 20
 #: Longer words are left to the tokenizer alone. Texts are taken so many bytes at a time; longer ones go word by word.
-LONG_WORD, CHUNK = 200, 1 << 20
+LONG_WORD, CHUNK = 200, 1 << 18
 _LOADED: dict = {}
 #: Words of letters up to U+017F, each of which is lower-cased to one of them (but for U+0130).
 _SIMPLE = re.compile(rb"(?:[\x21-\x7e]|\xc2[\xa1-\xac\xae-\xbf]|[\xc3\xc5][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf])+")
@@ -108,8 +108,6 @@ class Tokens:
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.spans = Spans(CHUNK)
-        self.filled = np.ones(256, bool)
-        self.filled[list(b" \t\n\r\x0b\x0c")] = False
         self.forget()
 
     def forget(self) -> None:
@@ -153,8 +151,7 @@ class Tokens:
             self.forget()
         data = b" ".join(group)
         x = np.frombuffer(data, np.uint8)
-        edge = np.flatnonzero(np.diff(self.filled[x], prepend=False, append=False))
-        starts, stops = edge[::2], edge[1::2]
+        starts, stops = word_edges(x)
         keys = self.spans.keys(x, starts, stops)
         at = self.map.find(keys)
         missing = np.flatnonzero(at < 0)
@@ -273,8 +270,8 @@ class Index:
             use = idf[own] > 0
             self.terms.append(own[use])
             terms.append(own[use])
-            tfs.append(tf[use])
-            docs.append(np.full(int(use.sum()), i))
+            tfs.append(tf[use].astype(np.int32))
+            docs.append(np.full(int(use.sum()), i, np.int32))
         term, doc, tf = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, docs, tfs))
         length = np.array([len(p) for p in pieces], float)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / max(length.mean() if len(length) else 1, 1)))

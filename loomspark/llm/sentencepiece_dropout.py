@@ -38,11 +38,11 @@ from .hashed import SPREAD, Map, Runs, Spans, grown, mixed
 SPACE_MARK = "▁"
 DROPOUT, SEED = 0.1, 1
 #: Words, and segmentations after skips, that a worker remembers, each half of 2^MEMO_BITS; when there are more it begins anew.
-MEMO_BITS = 21
+MEMO_BITS = 20
 #: Words of up to so many characters are segmented many at a time; so many such rows at once.
 SHORT_WORD, ROWS = 40, 4096
 #: Texts are taken so many characters at a time, words so many at a time.
-_CHUNK, _WORDS = 1 << 20, 1 << 18
+_CHUNK, _WORDS = 1 << 20, 1 << 17
 _NONE, _SLOT_BITS = np.iinfo(np.int32).max, 19
 #: More candidates than a short word can have: no skip.
 _FAR = 63

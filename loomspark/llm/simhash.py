@@ -231,23 +231,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def near_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Staged (a, b): texts, by hash, that fingerprints of 5-word shingles link, and whose shingles' similarity is 0.8 or more."""
+def candidate_pairs(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """(a, b), a < b: texts, by hash, that have one fingerprint or that links() joins."""
     texts = docs.select(jaccard.node(text).alias("node"), text)
-    rows = staged(fingerprints(texts, text, "node", jaccard.SHINGLE), "fingerprints")
+    rows = staged(fingerprints(texts, text, "node", shingle), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("_last")), "distinct")
     # Texts of one fingerprint meet at the first of them, and linked fingerprints at the first text of each.
-    alike = rows.join(fps.where("first <> _last").select(F.col("fp").alias("_fp"), "first"), F.col("fp") == F.col("_fp")).where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    alike = rows.join(fps.where("first <> _last").select(F.col("fp").alias("_fp"), "first"), F.col("fp") == F.col("_fp")).where("node <> first").select("first", "node")
     of = lambda end: fps.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
-    linked = links(fps.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    pairs = staged(alike.unionByName(linked).distinct(), "pairs")
-    out = jaccard.verified(pairs, docs, text)
-    unstage(rows, fps, pairs)
-    return out
+    linked = links(fps.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return alike.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(linked)
 
 
 def keep_one_per_component(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies the document with the smallest id stays. Near copies are those of
-    the general rule, a Jaccard similarity of 0.8 or more over 5-word shingles: those that fingerprints link, verified, and those
-    that fingerprints are too coarse for."""
-    return jaccard.without_near_copies(docs, known=near_pairs(docs))
+    the general rule, a Jaccard similarity of 0.8 or more over 5-word shingles, verified on whole sets: of texts that fingerprints
+    link, and of texts that fingerprints are too coarse for and that meet at a rare shingle."""
+    return jaccard.without_near_copies(docs, candidates=candidate_pairs(docs))

@@ -30,7 +30,7 @@ def kept_by_hand(rows):
     return sorted((d for i, (d, _) in enumerate(rows) if d == least[find(i)]), key=repr)
 
 
-def test_stage_keeps_what_brute_force_keeps(spark):
+def test_stage_keeps_what_brute_force_keeps(spark, monkeypatch):
     rnd = random.Random(4)
     word = lambda: f"w{rnd.randrange(3000)}"
     rows, line = [], " ".join(word() for _ in range(30))
@@ -49,10 +49,28 @@ def test_stage_keeps_what_brute_force_keeps(spark):
     rnd.shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = kept_by_hand(rows)
+    monkeypatch.setattr(jaccard, "SMALL", 64)  # the largest group here has 63 texts
     got = [r.doc_id for r in simhash.keep_one_per_component(spark, df, "").collect()]
     assert sorted(got, key=repr) == want and len(want) < len(rows)
 
 
+def test_large_groups_lose_few_links(spark, monkeypatch):
+    """Groups over SMALL: nothing goes that brute force keeps, and most goes that it drops."""
+    rnd = random.Random(6)
+    word = lambda: f"w{rnd.randrange(3000)}"
+    base, rows = [word() for _ in range(120)], []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rnd.randrange(3)):
+            own[rnd.randrange(120)] = word()
+        rows.append((len(rows), " ".join(own)))
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), kept_by_hand(rows)
+    for small in (64, 8):
+        monkeypatch.setattr(jaccard, "SMALL", small)
+        got = [r.doc_id for r in jaccard.without_near_copies(df).collect()]
+        assert set(want) <= set(got) and len(got) - len(want) <= 0.2 * (len(rows) - len(want)), (small, len(got), len(want))
+
+
 def test_real_and_odd_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(700)
     for df in (docs, odd(spark).select("doc_id", "text")):

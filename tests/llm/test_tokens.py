@@ -48,6 +48,16 @@ def test_texts_are_encoded_alike_one_by_one_and_together(monkeypatch):
         assert [np.frombuffer(x, own.dtype).tolist() for x in packing.Tokens(packing.default_tokenizer()).encode_all(some)] == want
 
 
+def test_word_keys_do_not_depend_on_the_piece():
+    text = b"some words, and some\tmore \x0b" * 30 + b"x" * 500 + b" end"
+    words = text.split()
+    for most in (1 << 16, 64):
+        keys = hashed.word_keys(text, hashed.Spans(most)).tolist()
+        assert len(keys) == len(words) and len(set(keys)) == len(set(words)) == len(set(zip(words, keys, strict=True)))
+    assert len(hashed.word_keys(b"", hashed.Spans(64))) == 0
+    assert (hashed.word_keys(text[:600], hashed.Spans(64)) == hashed.word_keys(text[:600], hashed.Spans(1 << 16))).all()
+
+
 def test_map_and_runs_against_a_dict():
     rnd, m, want = np.random.default_rng(1), hashed.Map(10), {}
     for lo in range(0, 500, 50):
