@@ -117,24 +117,23 @@ def sankey(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def trace_back(records: DataFrame, table: str, column: str) -> DataFrame:
-    """(table, column, depth): all columns that a target column comes from, over any number of pipelines. roots: no origin."""
-    records.select("source_table", "source_column", "target_table", "target_column").distinct().createOrReplaceTempView("_lineage_edges")
+    """(source_table, source_column, depth, is_root): all columns that a target column comes from, over any number of pipelines
+    and steps, each once at its least depth. roots: no origin.
+
+    A search by breadth: each round joins the columns found last with the records; only columns not seen before go on.
+    """
     spark = records.sparkSession
-    return spark.sql(
-        """
-        WITH RECURSIVE up(t, c, depth) AS (
-          SELECT :table AS t, :column AS c, 0 AS depth
-          UNION ALL
-          SELECT e.source_table, e.source_column, up.depth + 1 FROM up JOIN _lineage_edges e ON e.target_table = up.t AND e.target_column = up.c
-          WHERE up.depth < 32
-        )
-        SELECT t AS source_table, c AS source_column, min(depth) AS depth,
-               max(CASE WHEN r.target_table IS NULL THEN 1 ELSE 0 END) = 1 AS is_root
-        FROM up LEFT JOIN (SELECT DISTINCT target_table, target_column FROM _lineage_edges) r ON r.target_table = t AND r.target_column = c
-        WHERE depth > 0 GROUP BY t, c
-        """,
-        args={"table": table, "column": column},
-    )
+    edges = records.select("source_table", "source_column", "target_table", "target_column").distinct()
+    depth_of, with_origin, last = {(table, column): 0}, set(), [(table, column)]
+    while last:
+        ask = spark.createDataFrame(last, "target_table string, target_column string")
+        found = edges.join(ask, ["target_table", "target_column"]).collect()
+        with_origin |= {(r.target_table, r.target_column) for r in found}
+        depth = depth_of[last[0]] + 1
+        last = sorted({(r.source_table, r.source_column) for r in found} - depth_of.keys())
+        depth_of |= dict.fromkeys(last, depth)
+    rows = [(t, c, d, (t, c) not in with_origin) for (t, c), d in depth_of.items() if d]
+    return spark.createDataFrame(rows, "source_table string, source_column string, depth int, is_root boolean")
 
 
 def highlight(links: list[tuple[str, str]], node: str) -> set[str]:

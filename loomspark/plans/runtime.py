@@ -126,13 +126,13 @@ class Executor:
                             self._trace(run, node, out)
                         continue
                     if node.type == "output":
-                        self._output(run, node, out, watches)
+                        self._output(run, node, out, watches, held)
                     else:
                         made = _node_frames(self.spark, self.pipeline, node, out)
                         if node.type == "source":
                             made[key] = self._incremental(node, made[key], commits)
                         if node.type != "branch":
-                            made[key] = self._gate(run, node, made[key])
+                            made[key] = self._gate(run, node, made[key], held)
                         made = self._keep(run, node, made, uses, held, watches)
                         out |= made
                         self._trace(run, node, out)
@@ -160,11 +160,11 @@ class Executor:
         commits.append(commit)
         return rows
 
-    def _gate(self, run: Run, node: Node, df: DataFrame) -> DataFrame:
+    def _gate(self, run: Run, node: Node, df: DataFrame, held: list) -> DataFrame:
         rules = [r for r in self.rules.get(node.id, []) if r.is_enabled]
         if not rules:
             return df
-        df = df.persist()
+        held.append(df := df.persist())
         keep = (lambda rule, bad: self._quarantine(run, node, rule, bad)) if self.store else None
         try:
             df, reports = quality.apply(df, rules, keep)
@@ -199,9 +199,9 @@ class Executor:
             out[name] = df
         return out
 
-    def _output(self, run: Run, node: Node, out: dict[str, DataFrame], watches: dict) -> None:
+    def _output(self, run: Run, node: Node, out: dict[str, DataFrame], watches: dict, held: list) -> None:
         edge = self.pipeline.inputs(node.id)[0]
-        df = self._gate(run, node, _input(self.pipeline, edge, out))
+        df = self._gate(run, node, _input(self.pipeline, edge, out), held)
         c = node.config
         kind = c.get("output_type") or c.get("target_type") or c.get("type")
         watches[node.id] = Observation(f"rows {node.id}")

@@ -34,6 +34,7 @@ def read_csv(spark: SparkSession, config: dict) -> DataFrame:
     schema = config.get("schema")
     if schema:
         df = reader.schema(schema).csv(config["file_path"])
+        df = df.select(*[_missing(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])
     else:
         df = reader.csv(config["file_path"])
         if not header:
@@ -50,7 +51,7 @@ def _missing(name: str):  # noqa: ANN202
 
 def _typed(df: DataFrame) -> DataFrame:
     """Each text column as bigint, double or boolean if all its values are: one pass over the data."""
-    tests = {"long": lambda c: c.rlike(r"^\s*[+-]?\d{1,18}\s*$"), "double": lambda c: c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), "bool": lambda c: c.rlike(r"^(True|False|TRUE|FALSE|true|false)$")}
+    tests = {"long": lambda c: c.rlike(r"^\s*[+-]?\d+\s*$") & F.trim(c).try_cast("bigint").isNotNull(), "double": lambda c: c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), "bool": lambda c: c.rlike(r"^(True|False|TRUE|FALSE|true|false)$")}
     if not df.columns:
         return df
     asks = [F.min(F.when(F.col(f"`{c}`").isNotNull(), test(F.col(f"`{c}`")))).alias(f"{k}_{i}") for i, c in enumerate(df.columns) for k, test in tests.items()]

@@ -1,18 +1,21 @@
 """SQLite tables and queries as a Spark data source, in both directions.
 
-Reading splits a table by rowid ranges; a query is one partition. Filters that Spark offers become a WHERE clause, and the
-named columns become the SELECT list. Writing goes through one partition, since SQLite has one writer.
+Reading splits a table by rowid ranges; a query is one partition. Filters aren't pushed to SQLite: Spark keeps a Python reader
+with its filters for all uses of a DataFrame, so that a second use would miss the rows that the first filtered out. Put them
+into the query instead. Writing goes through one partition, since SQLite has one writer.
 """
 
 from __future__ import annotations
 
+import json
 import sqlite3
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: SQLite's affinities by a part of the declared type. Fixed values, in the order of its documentation.
 AFFINITIES = [("INT", T.LongType()), ("CHAR", T.StringType()), ("CLOB", T.StringType()), ("TEXT", T.StringType()), ("REAL", T.DoubleType()), ("FLOA", T.DoubleType()), ("DOUB", T.DoubleType())]
@@ -31,13 +34,15 @@ def _declared(kind: str | None) -> T.DataType | None:
     return next((t for part, t in AFFINITIES if part in (kind or "").upper()), None)
 
 
-def _observed(values: Sequence[object]) -> T.DataType:
-    kinds = {type(v) for v in values if v is not None}
-    if kinds and kinds <= {int}:
+def _fitting(declared: T.DataType | None, kinds: set[str]) -> T.DataType:
+    """The type of a column by its declaration, where its values' kinds (of SQLite's typeof) allow that, else by the kinds."""
+    if declared is not None and kinds <= {T.LongType: {"integer"}, T.DoubleType: {"integer", "real"}}.get(type(declared), {"integer", "real", "text", "blob"}):
+        return declared
+    if kinds and kinds <= {"integer"}:
         return T.LongType()
-    if kinds and kinds <= {int, float}:
+    if kinds and kinds <= {"integer", "real"}:
         return T.DoubleType()
-    return T.BinaryType() if kinds == {bytes} else T.StringType()
+    return T.BinaryType() if kinds == {"blob"} else T.StringType()
 
 
 @dataclass
@@ -50,31 +55,21 @@ class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.path, self.table, self.query, self.schema = options["db_path"], options.get("table_name"), options.get("query"), schema
         self.parts = int(options.get("partitions", 4))
-        self.where: list[tuple[str, object]] = []
-
-    def pushFilters(self, filters: list) -> Iterator:  # noqa: N802  Spark's name
-        signs = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-        for f in filters:
-            if type(f) in signs and len(f.attribute) == 1 and isinstance(f.value, (int, float, str)):
-                self.where.append((f"{quoted(f.attribute[0])} {signs[type(f)]} ?", f.value))
-            yield f  # Spark filters again: SQLite compares by its own affinities
 
     def partitions(self) -> Sequence[InputPartition]:
         cols = ", ".join(quoted(f.name) for f in self.schema.fields)
-        params = tuple(v for _, v in self.where)
-        cond = "".join(f" AND {c}" for c, _ in self.where)
         if self.query:
-            return [Slice(f"SELECT {cols} FROM ({self.query.rstrip().rstrip(';')}) WHERE 1{cond}", params)]
+            return [Slice(f"SELECT {cols} FROM ({self.query.rstrip().rstrip(';')})")]
         name = quoted(self.table)
         with sqlite3.connect(self.path) as db:
             try:
                 lo, hi = db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
             except sqlite3.OperationalError:  # a table without rowid
-                return [Slice(f"SELECT {cols} FROM {name} WHERE 1{cond}", params)]
+                return [Slice(f"SELECT {cols} FROM {name}")]
         if lo is None:
             return []
         step = (hi - lo) // self.parts + 1
-        return [Slice(f"SELECT {cols} FROM {name} WHERE rowid BETWEEN ? AND ?{cond}", (a, min(hi, a + step - 1), *params)) for a in range(lo, hi + 1, step)]
+        return [Slice(f"SELECT {cols} FROM {name} WHERE rowid BETWEEN ? AND ?", (a, min(hi, a + step - 1))) for a in range(lo, hi + 1, step)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
         kinds = [f.dataType for f in self.schema.fields]
@@ -95,59 +90,101 @@ def _fit(value: object, kind: T.DataType) -> object:
 
 @dataclass
 class Written(WriterCommitMessage):
-    rows: int
-    errors: list
+    table: str
+    batches: int
+
+
+#: Where a writer leaves its count and errors for the caller, by run.
+OUTCOMES = "_loomspark_outcomes"
 
 
 class SqliteWriter(DataSourceWriter):
-    """Appends in batches; with error_strategy skip a failed batch is left out, abort raises, retry tries once more."""
+    """Appends in batches; with error_strategy skip a failed batch is left out, abort leaves the table as it was, retry tries
+    once more and then aborts.
+
+    A task writes to a table of its own; commit() moves the rows of those that succeeded, in one transaction. So a task that is
+    run again doubles nothing.
+    """
 
     def __init__(self, options: dict, schema: T.StructType, overwrite: bool) -> None:
         self.path, self.table, self.schema, self.overwrite = options["db_path"], options["table_name"], schema, overwrite
         self.batch, self.strategy = int(options.get("batch_size", 1000)), options.get("error_strategy", "skip")
+        self.run = options.get("run_id") or uuid.uuid4().hex
         if self.strategy not in ("skip", "abort", "retry"):
             raise ValueError(f"unknown error strategy {self.strategy!r}")
-        kinds = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.ShortType: "INTEGER", T.BooleanType: "INTEGER", T.DoubleType: "REAL", T.FloatType: "REAL", T.BinaryType: "BLOB"}
-        cols = ", ".join(f"{quoted(f.name)} {kinds.get(type(f.dataType), 'TEXT')}" for f in schema.fields)
-        with sqlite3.connect(self.path) as db:
-            if overwrite:
-                db.execute(f"DROP TABLE IF EXISTS {quoted(self.table)}")
-            db.execute(f"CREATE TABLE IF NOT EXISTS {quoted(self.table)} ({cols})")
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         names = [f.name for f in self.schema.fields]
-        sql = f"INSERT INTO {quoted(self.table)} ({', '.join(map(quoted, names))}) VALUES ({', '.join('?' * len(names))})"
-        rows, errors, batch = 0, [], []
+        own, batches, batch = f"_stage_{self.run}_{uuid.uuid4().hex}", 0, []
+        sql = f"INSERT INTO {quoted(own)} VALUES ({', '.join('?' * (len(names) + 1))})"
         db = sqlite3.connect(self.path, timeout=60)
-
-        def put(some: list) -> int:
-            for left in (1, 0) if self.strategy == "retry" else (0,):
-                try:
-                    with db:
-                        db.executemany(sql, some)
-                    return len(some)
-                except sqlite3.Error as e:
-                    errors.append(str(e))
-                    if self.strategy != "skip" and not left:
-                        raise
-            return 0
-
         try:
+            with db:
+                db.execute(f"CREATE TABLE {quoted(own)} ({', '.join(f'c{k}' for k in range(len(names)))}, batch)")
             for row in iterator:
-                batch.append(tuple(str(v) if v is not None and not isinstance(v, (int, float, str, bytes)) else v for v in row))
+                batch.append((*(str(v) if v is not None and not isinstance(v, (int, float, str, bytes)) else v for v in row), batches))
                 if len(batch) == self.batch:
-                    rows, batch = rows + put(batch), []
+                    with db:
+                        db.executemany(sql, batch)
+                    batches, batch = batches + 1, []
             if batch:
-                rows += put(batch)
+                with db:
+                    db.executemany(sql, batch)
+                batches += 1
         finally:
             db.close()
-        return Written(rows, errors)
+        return Written(own, batches)
 
     def commit(self, messages: list) -> None:
-        pass
+        kinds = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.ShortType: "INTEGER", T.BooleanType: "INTEGER", T.DoubleType: "REAL", T.FloatType: "REAL", T.BinaryType: "BLOB"}
+        names, rows, errors = [f.name for f in self.schema.fields], 0, []
+        cols = ", ".join(map(quoted, names))
+        db = sqlite3.connect(self.path, timeout=60, isolation_level=None)
+        try:
+            db.execute("BEGIN IMMEDIATE")
+            if self.overwrite:
+                db.execute(f"DROP TABLE IF EXISTS {quoted(self.table)}")
+            db.execute(f"CREATE TABLE IF NOT EXISTS {quoted(self.table)} ({', '.join(f'{quoted(f.name)} {kinds.get(type(f.dataType), 'TEXT')}' for f in self.schema.fields)})")
+            for m in filter(None, messages):
+                move = f"INSERT INTO {quoted(self.table)} ({cols}) SELECT {', '.join(f'c{k}' for k in range(len(names)))} FROM {quoted(m.table)} WHERE batch = ? ORDER BY rowid"
+                for batch in range(m.batches):
+                    for left in (1, 0) if self.strategy == "retry" else (0,):
+                        db.execute("SAVEPOINT batch")
+                        try:
+                            rows += db.execute(move, (batch,)).rowcount
+                            db.execute("RELEASE batch")
+                            break
+                        except sqlite3.Error as e:
+                            db.execute("ROLLBACK TO batch")
+                            db.execute("RELEASE batch")
+                            errors.append(str(e))
+                            if self.strategy != "skip" and not left:
+                                raise
+            db.execute(f"CREATE TABLE IF NOT EXISTS {OUTCOMES} (run TEXT, rows INTEGER, errors TEXT)")
+            db.execute(f"INSERT INTO {OUTCOMES} VALUES (?, ?, ?)", (self.run, rows, json.dumps(errors)))
+            db.execute("COMMIT")
+        except sqlite3.Error:
+            db.execute("ROLLBACK")
+            raise
+        finally:
+            db.close()
+            self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        pass
+        """Drops what the tasks of this run left, those that failed included."""
+        with sqlite3.connect(self.path, timeout=60) as db:
+            for (name,) in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' AND substr(name, 1, ?) = ?", (len(self.run) + 7, f"_stage_{self.run}")).fetchall():
+                db.execute(f"DROP TABLE {quoted(name)}")
+
+
+def outcome(db_path: str, run: str) -> tuple[int, list[str]]:
+    """Rows and errors of a finished run, which are forgotten then."""
+    with sqlite3.connect(db_path, timeout=60) as db:
+        rows, errors = db.execute(f"SELECT rows, errors FROM {OUTCOMES} WHERE run = ?", (run,)).fetchone()
+        db.execute(f"DELETE FROM {OUTCOMES} WHERE run = ?", (run,))
+        if not db.execute(f"SELECT count(*) FROM {OUTCOMES}").fetchone()[0]:
+            db.execute(f"DROP TABLE {OUTCOMES}")
+    return rows, json.loads(errors)
 
 
 class SqliteSource(DataSource):
@@ -160,11 +197,14 @@ class SqliteSource(DataSource):
         if not query and not table:
             raise ValueError("a SQLite source needs a query or a table_name")
         with sqlite3.connect(path) as db:
-            cursor = db.execute(f"SELECT * FROM ({query.rstrip().rstrip(';')}) LIMIT 1000" if query else f"SELECT * FROM {quoted(table)} LIMIT 1000")
-            names = [d[0] for d in cursor.description]
-            sample = cursor.fetchall()
+            source = f"({query.rstrip().rstrip(';')})" if query else quoted(table)
+            names = [d[0] for d in db.execute(f"SELECT * FROM {source} LIMIT 0").description]
             declared = {} if query else {r[1]: _declared(r[2]) for r in db.execute(f"PRAGMA table_info({quoted(table)})")}
-        return T.StructType([T.StructField(n, declared.get(n) or _observed([r[k] for r in sample])) for k, n in enumerate(names)])
+            # The kinds of all values, in one pass: SQLite lets any column hold any of them.
+            kinds = ("integer", "real", "text", "blob")
+            told = db.execute(f"SELECT {', '.join(f'max(typeof({quoted(n)}) = {k!r})' for n in names for k in kinds)} FROM {source}").fetchone()
+        held = [{k for k, t in zip(kinds, told[4 * i : 4 * i + 4], strict=True) if t} for i in range(len(names))]
+        return T.StructType([T.StructField(n, _fitting(declared.get(n), h)) for n, h in zip(names, held, strict=True)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return SqliteReader(self.options, schema)
@@ -174,5 +214,4 @@ class SqliteSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)

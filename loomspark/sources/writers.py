@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-import sqlite3
 import time
 import urllib.error
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -33,21 +33,14 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_sqlite(df: DataFrame, config: dict) -> Outcome:
-    """Into one table through one task. Rows are counted in the table, before and after."""
+    """Into one table through one task and one transaction; the errors of batches that were left out are in the outcome."""
     sqlite.register(df.sparkSession)
-    path, name = config["db_path"], config["table_name"]
     mode = config.get("write_mode", "append")
     if mode not in ("append", "replace"):
         raise ValueError(f"unknown write mode {mode!r}")
-
-    def count() -> int:
-        with sqlite3.connect(path) as db:
-            return db.execute(f"SELECT count(*) FROM {sqlite.quoted(name)}").fetchone()[0] if name in sqlite.list_tables(path) else 0
-
-    before = count() if mode == "append" else 0
-    options = {k: str(config[k]) for k in ("db_path", "table_name", "batch_size", "error_strategy") if config.get(k) is not None}
+    options = {k: str(config[k]) for k in ("db_path", "table_name", "batch_size", "error_strategy") if config.get(k) is not None} | {"run_id": uuid.uuid4().hex}
     flat(df).coalesce(1).write.format("loomspark_sqlite").options(**options).mode("append" if mode == "append" else "overwrite").save()
-    return Outcome(count() - before)
+    return Outcome(*sqlite.outcome(config["db_path"], options["run_id"]))
 
 
 def write_csv(df: DataFrame, config: dict) -> Outcome:

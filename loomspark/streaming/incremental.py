@@ -79,15 +79,22 @@ def next_mark(rows: DataFrame, config: dict, mark: dict | None) -> dict | None:
 
 
 def sync(df: DataFrame, config: dict, store: MarkStore, source: object) -> tuple[DataFrame, Callable[[], dict | None]]:
-    """(new rows, commit): the caller commits once the rows are safely written, so that none is lost or delivered twice."""
+    """(new rows, commit): the caller commits once the rows are safely written, so that none is lost or delivered twice.
+
+    The next mark is taken first and bounds the rows: what arrives while they are written is left to the next call.
+    """
     if not config.get("enabled", True):
         return df, lambda: None
     held = store.get(source)
     mark = held["watermark_value"] if held else None
     rows = newer(df, config, mark)
+    after, name = next_mark(rows, config, mark), _column(df, config)
+    if name is not None:
+        c, value = F.col(f"`{name}`"), (after or {}).get(MODES[config["mode"]][0])
+        past = c <= F.lit(value).cast(df.schema[name].dataType.simpleString()) if value is not None else F.lit(False)
+        rows = rows.filter(past if mark else past | c.isNull())
 
     def commit() -> dict | None:
-        after = next_mark(rows, config, mark)
         return store.put(source, config["mode"], after) if after is not None and after != mark else held
 
     return rows, commit

@@ -182,3 +182,26 @@ def test_change_feed_gives_each_change_once(spark, tmp_path):
 
 def test_highlight():
     assert lineage.highlight([("a", "b"), ("b", "c"), ("x", "c")], "b") == {"a", "b", "c"}
+
+
+def test_lineage_goes_all_the_way_back(spark):
+    rows = [("p", "e", f"t{k}", "c", f"t{k + 1}", "c", []) for k in range(40)]
+    rows += [("p", "e", "a", "x", "d", "x", []), ("p", "e", "a", "x", "e", "x", []), ("p", "e", "d", "x", "f", "x", []), ("p", "e", "e", "x", "f", "x", []), ("p", "e", "f", "x", "a", "x", [])]
+    records = spark.createDataFrame(rows, lineage.SCHEMA)
+    got = lineage.trace_back(records, "t40", "c").collect()
+    assert len(got) == 40 and [(r.source_table, r.depth) for r in got if r.is_root] == [("t0", 40)]
+    loop = {(r.source_table, r.depth) for r in lineage.trace_back(records, "f", "x").collect()}
+    assert loop == {("d", 1), ("e", 1), ("a", 2)}
+    assert lineage.trace_back(records, "none", "c").count() == 0
+
+
+def test_sync_leaves_later_rows_to_the_next_call(spark, tmp_path):
+    path, config = str(tmp_path / "rows"), {"mode": "auto_increment_id", "id_field": "id", "enabled": True}
+    store = incremental.MarkStore(str(tmp_path / "marks.json"))
+    spark.range(5).write.parquet(path)
+    rows, commit = incremental.sync(spark.read.parquet(path), config, store, "s")
+    spark.range(5, 8).write.mode("append").parquet(path)  # while the rows are written
+    late = incremental.newer(spark.read.parquet(path), config, None).count()
+    assert rows.count() == 5 and late == 8 and commit()["watermark_value"] == {"last_id": 4}
+    again, _ = incremental.sync(spark.read.parquet(path), config, store, "s")
+    assert sorted(r.id for r in again.collect()) == [5, 6, 7]

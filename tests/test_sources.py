@@ -4,6 +4,7 @@ import sqlite3
 import threading
 
 import pytest
+from pyspark.sql import types as T
 
 from loomspark.sources import readers, sqlite, writers
 
@@ -71,10 +72,47 @@ def test_sqlite_error_strategies(spark, tmp_path):
     with sqlite3.connect(db) as c:
         c.execute("CREATE TABLE t (id INTEGER CHECK (id < 10))")
     df = spark.range(12).coalesce(1)
-    assert writers.write(df, "sqlite", {"db_path": db, "table_name": "t", "batch_size": 5}).rows == 10
+    done = writers.write(df, "sqlite", {"db_path": db, "table_name": "t", "batch_size": 5})
+    assert done.rows == 10 and len(done.errors) == 1 and "CHECK" in done.errors[0]
     for strategy in ("abort", "retry"):
         with pytest.raises(Exception, match="CHECK"):
             writers.write(df, "sqlite", {"db_path": db, "table_name": "t", "batch_size": 5, "error_strategy": strategy})
+    with sqlite3.connect(db) as c:  # all or nothing, and nothing is left behind
+        assert c.execute("SELECT count(*) FROM t").fetchone() == (10,) and sqlite.list_tables(db) == ["t"]
+
+
+def test_sqlite_rows_of_failed_tasks_do_not_count(tmp_path):
+    db, schema = str(tmp_path / "x.db"), T.StructType([T.StructField("id", T.LongType())])
+    writer = sqlite.SqliteWriter({"db_path": db, "table_name": "t", "batch_size": "2"}, schema, False)
+
+    def broken():
+        yield from [(1,), (2,), (3,)]
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    writer.commit([writer.write(iter([(1,), (2,), (3,)]))])
+    assert sqlite.outcome(db, writer.run) == (3, []) and sqlite.list_tables(db) == ["t"]
+
+
+def test_sqlite_types_come_of_all_values(spark, tmp_path):
+    db = str(tmp_path / "x.db")
+    with sqlite3.connect(db) as c:
+        c.execute("CREATE TABLE t (n NUMERIC, i INTEGER, b BLOB, e TEXT)")
+        c.executemany("INSERT INTO t VALUES (?, ?, ?, NULL)", [(k, k, b"x") for k in range(1500)] + [(2.5, "word", b"y")])
+    got = readers.read(spark, "sqlite", {"db_path": db, "table_name": "t"})
+    assert got.dtypes == [("n", "double"), ("i", "string"), ("b", "binary"), ("e", "string")]
+    assert got.where("n = 2.5 AND i = 'word'").count() == 1 and got.count() == 1501
+    assert readers.read(spark, "sqlite", {"db_path": db, "query": "SELECT n FROM t"}).agg({"n": "sum"}).first()[0] == sum(range(1500)) + 2.5
+
+
+def test_csv_long_integers_and_missing_values(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b,c\n9223372036854775807,9223372036854775808,NA\n9223372036854775806,1,x\n")
+    got = readers.read(spark, "csv", {"file_path": str(tmp_path / "a.csv")})
+    assert got.dtypes == [("a", "bigint"), ("b", "double"), ("c", "string")]
+    assert sorted(r.a for r in got.collect()) == [9223372036854775806, 9223372036854775807]
+    typed = readers.read(spark, "csv", {"file_path": str(tmp_path / "a.csv"), "schema": "a bigint, b double, c string"})
+    assert typed.where("c IS NULL").count() == 1 and typed.dtypes[0] == ("a", "bigint")
 
 
 def test_csv_sink(spark, tmp_path):
