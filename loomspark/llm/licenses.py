@@ -9,8 +9,8 @@ Headers repeat without end, so distinct headers are counted first and scored onc
 header, and directories join on paths: each directory lists its ancestors, which is as many rows as it is deep.
 
 Defined cases: a null or empty text has no header; a null path has no directory and inherits nothing; equal cosines go to
-the first licence by name; of several licence files in a directory the highest cosine counts, then the first name; files
-that repeat a path are judged each for itself by its key; an empty table gives no rows; other columns are not read.
+the first licence by name; of several licence files in a directory the highest cosine counts, then the first name; rows
+that repeat a path or a key, or have no key, are judged each for itself; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,12 +44,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
-def header_rows(files: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, header): every sentence with a cue, white space at its ends cut off."""
-    body = F.col(text)
+def headers_of(text: Column) -> Column:
+    """array<string>: every sentence with a cue, white space at its ends cut off; null if there is none."""
     cued = lambda s: F.lower(s).rlike(CUE)
-    some = files.where(F.lower(body).rlike(CUE)).select(key, F.explode(F.filter(F.split(body, _SENTENCE), cued)).alias("_s"))
-    return some.select(key, F.btrim("_s", F.lit(" \t\r\x0b\x0c")).alias("header"))
+    cut = lambda s: F.btrim(s, F.lit(" \t\r\x0b\x0c"))
+    return F.when(F.lower(text).rlike(CUE), F.transform(F.filter(F.split(text, _SENTENCE), cued), cut))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -78,16 +77,19 @@ def score_headers(headers: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, key: str = "key", path: str = "path", text: str = "text") -> DataFrame:
-    """(key, path, own_license, cosine, n_headers, license, inherited_from) of every file; keys are unique or null."""
-    headers = staged(header_rows(files, key, text), "headers")
+    """(key, path, own_license, cosine, n_headers, license, inherited_from) of every file, each row for itself whatever its key."""
+    name, folder = F.regexp_extract(path, r"([^/]*)$", 1), F.when(F.col(path).contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(F.col(path).isNotNull(), F.lit(""))
+    found = files.select(F.col(key), F.col(path), folder.alias("_dir"), F.lower(name).alias("_name"), headers_of(F.col(text)).alias("_headers"), F.col(text).alias("_text"))
+    found = found.withColumn("_words", F.when(F.col("_headers").isNotNull(), F.size(F.split("_text", f"{SPACE}+")))).drop("_text")
+    # The only pass over the texts. Row numbers, fixed by staging, tell rows with the same key or none apart.
+    found = staged(found.withColumn("_row", F.monotonically_increasing_id()), "files")
+    headers = found.where(F.size("_headers") > 0).select("_row", F.explode("_headers").alias("header"))
     scores = staged(score_headers(headers), "scores")
     size = lambda c: F.size(words(c))
-    hit = headers.join(scores, "header").groupBy(F.col(key).alias("_key")).agg(
+    hit = headers.join(scores, "header").groupBy(F.col("_row").alias("_hit")).agg(
         F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"), F.count(F.lit(1)).alias("n_headers"), F.sum(size(F.col("header"))).alias("licensed_words")
     )
-    name, folder = F.regexp_extract(path, r"([^/]*)$", 1), F.when(F.col(path).contains("/"), F.regexp_replace(path, "/[^/]*$", "")).when(F.col(path).isNotNull(), F.lit(""))
-    base = files.select(F.col(key), F.col(path), folder.alias("_dir"), F.lower(name).alias("_name"), F.when(F.lower(F.col(text)).rlike(CUE), F.size(F.split(F.col(text), f"{SPACE}+"))).alias("_words"))
-    base = base.join(hit, F.col(key).eqNullSafe(F.col("_key")), "left")
+    base = found.join(hit, F.col("_row") == F.col("_hit"), "left")
     base = base.select(key, path, "_dir", "_name", "_words", F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("cosine"), F.coalesce("n_headers", F.lit(0)).cast("long").alias("n_headers"), "licensed_words")
     declares = F.col("own_license").isNotNull() & F.col("_dir").isNotNull() & (F.col("_name").rlike(FILE_NAMES) | (F.col("licensed_words") >= F.col("_words") * FILE_SHARE))
     declared = base.where(declares).groupBy(F.col("_dir").alias("_ancestor")).agg(F.min(F.struct((-F.col("cosine")).alias("less"), "own_license")).alias("d")).select("_ancestor", F.col("d.own_license").alias("_declared"))
@@ -96,6 +98,7 @@ def scan(files: DataFrame, key: str = "key", path: str = "path", text: str = "te
     steps = F.split("_dir", "/")
     up = folders.select("_dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, F.lit(1), k), "/").alias("_ancestor")))).alias("u"))
     near = up.select("_dir", "u.*").join(declared, "_ancestor").groupBy(F.col("_dir").alias("_of")).agg(F.max(F.struct("depth", "_ancestor", "_declared")).alias("a"))
+    near = staged(near, "near")  # a plain table, so that the join can split a directory that very many files have
     out = base.join(near, (F.col("_dir") == F.col("_of")) & F.col("own_license").isNull(), "left")
     return out.select(key, path, "own_license", "cosine", "n_headers", F.coalesce("own_license", F.col("a._declared")).alias("license"), F.col("a._ancestor").alias("inherited_from"))
 

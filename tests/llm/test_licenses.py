@@ -24,3 +24,16 @@ def test_root_licence_reaches_every_depth(spark):
 def test_no_python_in_the_plan(spark):
     plan = licenses.op3_licenses(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_rows_without_a_key_or_with_the_same_key_are_judged_each_for_itself(spark):
+    rows = [(None, "a/x", "Released under the MIT License."), (None, "b/y", "There is no license of none."), (7, "c/y", "Released under the MIT License."), (7, "d/y", "nothing"), (8, None, None), (9, "e/z", "")]
+    got = {(r.key, r.path): r.license for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert got == {(None, "a/x"): "MIT", (None, "b/y"): None, (7, "c/y"): "MIT", (7, "d/y"): None, (8, None): None, (9, "e/z"): None}
+
+
+def test_licences_come_of_the_nearest_ancestor(spark):
+    note = "Licensed under the Apache License, Version 2.0."
+    rows = [(1, "LICENSE", "Released under the MIT License."), (2, "a/b/LICENSE.txt", note), (3, "a/b/c/d/x.py", "code"), (4, "a/x.py", "code"), (5, "a/b/y.py", "code " * 5000), (6, "ab/c/y.py", "code"), (7, "x.py", "code")]
+    got = {r.key: (r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(rows, "key long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: ("Apache-2.0", None), 3: ("Apache-2.0", "a/b"), 4: ("MIT", ""), 5: ("Apache-2.0", "a/b"), 6: ("MIT", ""), 7: ("MIT", "")}
