@@ -23,6 +23,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -196,8 +197,16 @@ def _load(path: str) -> Tokens:
     return _LOADED[path]
 
 
+@lru_cache
+def _vocabulary(path: str) -> int:
+    """The number of ids, for the driver, which need not hold a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
+
+
 def _dtype(path: str) -> str:
-    return _load(path).dtype.str
+    return "<u2" if _vocabulary(path) <= 1 << 16 else "<u4"
 
 
 def token_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -335,7 +344,7 @@ def pack(docs: DataFrame, path: str | None = None, text: str = "text", window: i
     spark = docs.sparkSession
     tokens = token_table(docs, path, text)
     kind = _dtype(path)
-    df = term_statistics(tokens, kind, _load(path).tok.get_vocab_size())
+    df = term_statistics(tokens, kind, _vocabulary(path))
     got = tokens.agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")).first()
     n_docs, shards = got.docs, max(1, math.ceil((got.tokens or 0) / SHARD_TOKENS), math.ceil(got.docs / SHARD_ROWS))
     shared = spark.sparkContext.broadcast(df)  # the vocabulary's size
