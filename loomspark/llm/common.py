@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: The white space of every contract here: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 
+#: Whether Spark deletes an action's shuffle files once it has ended, rather than when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,7 +31,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """`df` written once as Parquet to the shared folder and read again: lineage is cut and later readers prune columns."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
