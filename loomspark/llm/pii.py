@@ -1,8 +1,9 @@
 r"""Operator 9: personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base identifiers (e-mail, IP address, card, phone) are found by patterns and checks; they are the seeds. A candidate is a
-word with a digit or an @; its lexical patterns are the two words before it, and the words on either side. Seeds induce
-patterns, and Spark scores the graph of patterns and instances in rounds:
+word with a digit or an @; its lexical patterns are the two words before it, the words on either side, and the two words after
+it. `key=value` is read as the words `key`, `=` and `value`. Seeds induce patterns, and Spark scores the graph of patterns and
+instances in rounds:
 
 * a pattern's confidence in a kind is the mean score of its distinct instances, less for few instances (SUPPORT);
 * an instance's score in a kind is one minus the product of (1 - confidence) over its patterns, 1 for seeds.
@@ -10,6 +11,11 @@ patterns, and Spark scores the graph of patterns and instances in rounds:
 Patterns of at least CONFIDENCE that at least LEAST_SEEDS distinct seeds induced discover the candidates in their context
 that score MIN_SCORE or more and have the shape of an identifier; their spans are added to the base spans.
 
+A fifth kind, `secret` (access tokens and keys), has no base pattern. Its seeds are words in a form that issuers use
+(SECRET_SEED: long hexadecimal words and known prefixes), which alone prove nothing: a seed is reported only where patterns that
+many distinct seeds induced make it certain, and other values in those patterns are discovered like the other kinds. Only
+assignments (`word =`, `word:`) may become its patterns, and not those that name a digest (NOT_SECRET).
+
 Positions are in code points. They come from the parts between matches: split() and regexp_extract_all() run the same
 matcher, so a match starts where the parts and matches before it end. Patterns with repeats use possessive repetition,
 which matches as the plain form does and needs no stack or retries on long texts.
@@ -40,6 +46,14 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*
 CORE = r"[\p{L}\p{N}+](?:.*[\p{L}\p{N}])?"
 #: Dotted groups of digits (a port or mask may follow), or three groups or more with colons, of which one may be empty.
 IP_SHAPE = r"^(?:[0-9]{1,3}(?:\.[0-9]{1,3}){2,}(?:[:/][0-9]+)?|[0-9a-f]{0,4}(?::[0-9a-f]{0,4}){2,}(?:/[0-9]+)?)$"
+#: The kind without a base pattern, its seeds, the shape of its discoveries, its patterns and the keys that it leaves alone.
+ALL_KINDS = (*KINDS, "secret")
+SECRET = len(KINDS)
+SECRET_SEED = r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36})$"
+SECRET_SHAPE = r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9_+/=.-]{16,}$"
+SECRET_PATTERN = r"^before \S*(?: [=:]|[^\s=:][=:])$"
+NOT_SECRET = r"^before (?:\S+ )?(?:commit|revision|rev|sha|sha1|sha256|md5|hash|checksum|digest|etag|uuid|guid)(?: ?[=:])$"
+_ASSIGNED = r"^[^\p{L}\p{N}@=]*([\p{L}_][\p{L}\p{N}_.-]*)=(.+)$"
 CONTEXT = 80
 ROUNDS, SUPPORT, CONFIDENCE, MIN_SCORE, LEAST_SEEDS, LEAST_DIGITS = 3, 1.0, 0.8, 0.8, 3, 6
 
@@ -111,14 +125,18 @@ def candidates(text: Column) -> Column:
     word, gap = r"[^\x20\x09-\x0D]+", SPACE
 
     def row(m: Column) -> Column:
-        core = F.regexp_extract(m["found"], CORE, 0)
-        start = m["start"] + F.greatest(F.instr(m["found"], core) - 1, F.lit(0))
+        key = F.regexp_extract(m["found"], _ASSIGNED, 1)
+        value = F.when(key == "", m["found"]).otherwise(F.regexp_extract(m["found"], _ASSIGNED, 2))
+        core = F.regexp_extract(value, CORE, 0)
+        # The value ends the word.
+        start = m["stop"] - F.length(value) + F.greatest(F.instr(value, core) - 1, F.lit(0))
         clean = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}=:]", ""))
         return F.struct(
             start.alias("start"), (start + F.length(core)).alias("stop"), core.alias("found"),
-            clean(F.regexp_extract(m["before"], rf"({word}){gap}+{word}{gap}*$", 1)).alias("left2"),
-            clean(F.regexp_extract(m["before"], rf"({word}){gap}*$", 1)).alias("left1"),
+            F.when(key == "", clean(F.regexp_extract(m["before"], rf"({word}){gap}+{word}{gap}*$", 1))).otherwise(clean(key)).alias("left2"),
+            F.when(key == "", clean(F.regexp_extract(m["before"], rf"({word}){gap}*$", 1))).otherwise(F.lit("=")).alias("left1"),
             clean(F.regexp_extract(m["after"], rf"^{gap}*({word})", 1)).alias("right1"),
+            clean(F.regexp_extract(m["after"], rf"^{gap}*{word}{gap}+({word})", 1)).alias("right2"),
         )
 
     return F.transform(_matches(text, CANDIDATE), row)
@@ -145,28 +163,34 @@ def _edges(scanned: DataFrame) -> DataFrame:
     seeds = F.filter("base", lambda b: (b["start"] < F.col("c.stop")) & (b["stop"] > F.col("c.start")))
     one = one.select("row", "c.*", F.get(seeds, F.lit(0)).alias("seed"))
     # A seed of several words stands once, at its first word, and has no word to its right here.
-    one = one.where("seed IS NULL OR seed.start >= start").withColumns({"k": F.col("seed.k"), "whole": F.col("seed").isNull() | (F.col("seed.stop") <= F.col("stop")), "found": F.coalesce("seed.found", "found")})
+    one = one.where("seed IS NULL OR seed.start >= start").withColumns({"k": F.coalesce("seed.k", F.when(F.col("found").rlike(SECRET_SEED), F.lit(SECRET))), "whole": F.col("seed").isNull() | (F.col("seed.stop") <= F.col("stop")), "found": F.coalesce("seed.found", "found")})
     before = F.concat_ws(" ", F.lit("before"), "left2", "left1")
     around = F.when(F.col("whole"), F.concat_ws(" ", F.lit("around"), "left1", "right1"))
-    usable = F.filter(F.array(F.when((F.col("left1") != "") & (F.col("left2") != ""), before), F.when((F.col("left1") != "") & (F.col("right1") != ""), around)), lambda p: p.isNotNull())
+    after = F.when(F.col("whole"), F.concat_ws(" ", F.lit("after"), "right1", "right2"))
+    filled = lambda a, b, p: F.when((F.col(a) != "") & (F.col(b) != ""), p)
+    # `key:` in one word is an assignment of its own, whatever stands before it.
+    key = F.when(F.col("left1").rlike("^[^=:]+[=:]$"), F.concat_ws(" ", F.lit("before"), "left1"))
+    usable = F.filter(F.array(filled("left1", "left2", before), filled("left1", "right1", around), filled("right1", "right2", after), key), lambda p: p.isNotNull())
     return one.select("row", "start", "stop", F.lower("found").alias("found"), F.explode(usable).alias("pattern"), "k")
 
 
 def _shaped(found: Column, k: Column) -> Column:
     """Whether a word has the shape of its kind: e-mail an @ between letters or digits, ip groups with dots or colons, card and
-    phone LEAST_DIGITS digits."""
+    phone LEAST_DIGITS digits, secret SECRET_SHAPE."""
     digits = F.length(F.regexp_replace(found, "[^0-9]", "")) >= LEAST_DIGITS
     shapes = {"email": found.rlike(r"[\p{L}\p{N}]@[\p{L}\p{N}]"), "ip": found.rlike(IP_SHAPE)}
     out = digits
-    for kind, shape in shapes.items():
-        out = F.when(k == KINDS.index(kind), shape).otherwise(out)
+    for kind, shape in {**shapes, "secret": found.rlike(SECRET_SHAPE)}.items():
+        out = F.when(k == ALL_KINDS.index(kind), shape).otherwise(out)
     return out
 
 
 def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(found, k, score): instances that aren't seeds and that high-confidence patterns discover, each with its best kind."""
+    """(found, k, score): instances that high-confidence patterns discover, each with its best kind; seeds only of the kind secret."""
     links = staged(edges.groupBy("pattern", "found").agg(F.max("k").alias("seed")), "links")
-    induced = links.where("seed IS NOT NULL").groupBy("pattern", F.col("seed").alias("k")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
+    secret = F.col("seed") == SECRET
+    fits = ~secret | F.col("pattern").rlike(SECRET_PATTERN) & ~F.col("pattern").rlike(NOT_SECRET)
+    induced = links.where(F.col("seed").isNotNull() & fits).groupBy("pattern", F.col("seed").alias("k")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= LEAST_SEEDS)
     reach = staged(links.join(induced, "pattern").select("pattern", "found", "k", "seeds", (F.col("seed").eqNullSafe(F.col("k"))).alias("own"), F.col("seed").isNull().alias("open")), "reach")
     score = None
     for _ in range(rounds):
@@ -176,7 +200,7 @@ def bootstrap(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         # An instance that isn't judged yet counts for neither side in the first round.
         judged = F.lit(True) if score is not None else ~F.col("open")
         sure = scored.where(judged).groupBy("pattern", "k").agg((F.sum("score") / (F.count(F.lit(1)) + F.lit(SUPPORT))).alias("confidence"))
-        spread = reach.where("open").join(sure, ["pattern", "k"])
+        spread = reach.where(F.col("open") | F.col("own") & (F.col("k") == SECRET)).join(sure, ["pattern", "k"])
         fresh = staged(spread.groupBy("found", "k").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999999)))))).alias("instance"), F.max("confidence").alias("best")), "scores")
         unstage(getattr(score, "_origin", None))
         score = fresh.select("found", "k", "instance")
@@ -191,14 +215,14 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
     scanned = scan(docs, text)
     edges = _edges(scanned)
     known = bootstrap(edges)
-    fresh = edges.where("k IS NULL").select("row", "start", "stop", "found").distinct().join(known, "found")
+    fresh = edges.where(F.col("k").isNull() | (F.col("k") == SECRET)).select("row", "start", "stop", "found").distinct().join(known, "found")
     added = fresh.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_set(F.struct("start", "k", "stop", "found"))).alias("_added"))
     out = scanned.join(added, scanned.row == added._row, "left")
     return out.select("row", "doc_id", "print", "base", F.when(F.col("_added").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "_added"))).alias("spans"))
 
 
 def _written(spans: Column) -> Column:
-    names = F.array(*[F.lit(k) for k in KINDS])
+    names = F.array(*[F.lit(k) for k in ALL_KINDS])
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["k"]), s["start"].cast("string"), s["stop"].cast("string"))))
 
 
@@ -211,7 +235,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; overlapping spans become one. n_chars follows, where there is one."""
     found = find(docs, text).where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("_masked_id"), F.col("print").alias("_print")).agg(F.first("spans").alias("_spans"))
-    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in ALL_KINDS])
     body = F.col(text)
 
     def step(acc: Column, s: Column) -> Column:

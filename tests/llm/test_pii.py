@@ -80,6 +80,50 @@ def test_each_kind_is_discovered_by_its_own_shape(spark):
         assert got[d] == ([x] if x else []), rows[d]
 
 
+def test_secrets_come_of_patterns_that_seeds_induce(spark):
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(12)]
+    rows = [(k, f'the key is token = "{h}" here') for k, h in enumerate(hexes[:6])] + [(k, f"commit: {h} was made") for k, h in enumerate(hexes[6:11], 10)]
+    rows += [(20, "set token = x9-not-hex-but-long-1 now"), (21, f"lone {hexes[11]} word"), (22, 'token="another-1-secret-value"'), (23, "token = 12 only"), (24, f"seen again as {hexes[0]}")]
+    got = {r.doc_id: [(s.found, pii.ALL_KINDS[s.k], s.start, s.stop) for s in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, h in enumerate(hexes[:6]):
+        assert got[k] == [(h, "secret", 20, 60)]
+    assert got[20] == [("x9-not-hex-but-long-1", "secret", 12, 33)] and got[22] == [("another-1-secret-value", "secret", 7, 29)] and got[24] == [(hexes[0], "secret", 14, 54)]
+    assert not got[21] and not got[23] and not any(got[k] for k in range(10, 15))
+
+
+def graph_by_hand(links):
+    """The rounds over (pattern, found, seed) in plain Python."""
+    seeds = {}
+    for p, f, k in links:
+        if k is not None:
+            seeds.setdefault((p, k), set()).add(f)
+    kinds = {(p, k): [(f, s) for q, f, s in links if q == p] for (p, k), found in seeds.items() if len(found) >= pii.LEAST_SEEDS}
+    score = None
+    for _ in range(pii.ROUNDS):
+        sure = {}
+        for (p, k), found in kinds.items():
+            judged = [(1.0 if s == k else (score or {}).get((f, k), 0.0) if s is None else 0.0) for f, s in found if score is not None or s is not None]
+            sure[p, k] = sum(judged) / (len(judged) + pii.SUPPORT)
+        fresh, best = {}, {}
+        for (p, k), found in kinds.items():
+            for f, s in found:
+                if s is None:
+                    fresh[f, k] = fresh.get((f, k), 1.0) * (1 - min(sure[p, k], 0.999999))
+                    best[f, k] = max(best.get((f, k), 0.0), sure[p, k])
+        score = {x: 1 - y for x, y in fresh.items()}
+    return {x: y for x, y in score.items() if best[x] >= pii.CONFIDENCE and y >= pii.MIN_SCORE}
+
+
+def test_the_graph_against_plain_rounds(spark):
+    links = [(f"before p{j}", f"{j}-{i}-555-000-{1000 + i}", 3) for j in range(3) for i in range(6 + j)]
+    links += [(f"before p{j}", f"new-{i}-{100000 + i}", None) for j in range(3) for i in range(1 + j)] + [("before p0", f"w{i}-1234567", None) for i in range(30)] + [("before q", "1234567", None), ("before p1", "no1", None)]
+    links += [("before p2", f"10.0.0.{i}", 1) for i in range(2)]
+    edges = spark.createDataFrame([(0, 0, 1, f, p, k) for p, f, k in links], "row long, start int, stop int, found string, pattern string, k int")
+    got = {(r.found, r.k): round(r.score, 9) for r in pii.bootstrap(edges).collect()}
+    want = {(f, k): round(y, 9) for (f, k), y in graph_by_hand(links).items() if sum(c.isdigit() for c in f) >= pii.LEAST_DIGITS}
+    assert got == want and got
+
+
 def test_masking(spark):
     df = odd(spark)
     out = pii.mask(df)
