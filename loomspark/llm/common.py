@@ -2,56 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, staged, unstage
+
+__all__ = ["SPACE", "same", "shared_dir", "sort_names", "staged", "table", "unstage"]
+
 #: The white space of every contract here: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 
-#: Whether Spark deletes an action's shuffle files once it has ended, rather than when the driver collects its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomspark-"))
-    return sc.getCheckpointDir()
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` written once as Parquet to the shared folder and read again: lineage is cut and later readers prune columns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(*frames: DataFrame | None) -> None:
-    """Deletes what staged() wrote, once nothing reads it any more."""
-    for df in frames:
-        path = getattr(df, "_staged_path", None)
-        if path:
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def sort_names(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Distinct `keys`, each with an integer name; names ascend in the sort order of the keys.
 
