@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..naming import fresh
 from ..staging import shared_dir, staged, unstage
 
-__all__ = ["SPACE", "same", "shared_dir", "sort_names", "staged", "table", "unstage"]
+__all__ = ["SPACE", "one_row_each", "same", "shared_dir", "sort_names", "staged", "table", "unstage"]
 
 #: The white space of every contract here: space and the controls 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
@@ -34,3 +35,13 @@ def same(left: list[Column], right: list[Column]) -> Column:
     for a, b in zip(left, right, strict=True):
         out = out & a.eqNullSafe(b)
     return out
+
+
+def one_row_each(docs: DataFrame, proof: str, kept: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id and text (by the digest in `proof`) are in `kept` (_id, _text, _rows), one row for each there."""
+    names = {c: fresh(c, docs) for c in ("_id", "_text", "_rows")}
+    some = kept.select(*[F.col(c).alias(n) for c, n in names.items()])
+    on = F.col("doc_id").eqNullSafe(F.col(names["_id"])) & (F.col(proof) == F.col(names["_text"]))
+    once = docs.join(some.where(F.col(names["_rows"]) == 1), on, "left_semi")
+    many = docs.join(some.where(F.col(names["_rows"]) > 1), on, "left_semi")
+    return once.unionByName(many.dropDuplicates(["doc_id", proof]))

@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, same, sort_names, staged, table, unstage
+from ..naming import fresh
+from .common import SPACE, one_row_each, same, sort_names, staged, table, unstage
 
 BLOCK_BYTES = 16384
 
@@ -89,9 +90,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that stay, with their columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """Pipeline stage: of each group of equal texts one row with all its columns, that of the smallest id (null ids last).
+
+    Rows are told by id and text together, so a row that shares its id with another text, or has none, isn't kept for it.
+    """
+    proof = fresh("_proof", docs)
+    kept = exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("_rows"))
+    kept = staged(kept.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text"), "_rows"), "kept")
+    return one_row_each(docs.withColumn(proof, F.sha2(normalised(F.col("text")), 256)), proof, kept).drop(proof)
 
 
 SQL = r"""

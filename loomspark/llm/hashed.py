@@ -52,23 +52,42 @@ def word_edges(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_keys(data: bytes, spans: Spans) -> np.ndarray:
-    """The keys of a text's words, whatever its length and theirs."""
-    x = np.frombuffer(data, np.uint8)
-    starts, stops = word_edges(x)
-    if len(x) <= spans.most:
-        return spans.keys(x, starts, stops)
-    out, lo = np.zeros(len(starts), np.uint64), 0
-    while lo < len(starts):
-        at = int(starts[lo])
-        hi = int(np.searchsorted(stops, at + spans.most, side="right"))
-        if hi == lo:  # a word longer than that
-            hi = lo + 1
-            out[lo] = xxhash.xxh64_intdigest(data[at : stops[lo]])
-        else:
-            out[lo:hi] = spans.keys(x[at : stops[hi - 1]], starts[lo:hi] - at, stops[lo:hi] - at)
-        lo = hi
-    return out
+class WordKeys:
+    """64-bit keys of words, `tables` independent ones of each: sums of random numbers, one for each byte at each place.
+
+    Two words have one key with a chance of 2^-64 whatever they are, since a place where they differ adds a random difference.
+    Words of more than PLACES bytes have XXH64 keys with a seed for each table.
+    """
+
+    PLACES = 64
+
+    def __init__(self, tables: int = 1) -> None:
+        random = np.random.Generator(np.random.PCG64(20))
+        self.tables = [random.integers(0, 1 << 64, (self.PLACES, 256), np.uint64, endpoint=False) for _ in range(tables)]
+        for t in self.tables:
+            t[:, ~FILLED] = 0
+        self.tables = [t.ravel() for t in self.tables]
+
+    def keys(self, x: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+        """For each table, the keys of the words that word_edges() found in x; a few at a time, so that little is held."""
+        out = [np.zeros(len(starts), np.uint64) for _ in self.tables]
+        lo = 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(stops, starts[lo] + (1 << 16), side="right")))
+            begin = starts[lo:hi] - starts[lo]
+            own = x[starts[lo] : stops[hi - 1]]
+            place = np.arange(len(own), dtype=np.int32)
+            place -= np.repeat(begin.astype(np.int32), np.diff(begin, append=len(own)))  # white space counts on, for nothing
+            np.minimum(place, self.PLACES - 1, out=place)
+            at = (place << 8) | own
+            for k, t in enumerate(self.tables):
+                out[k][lo:hi] = np.add.reduceat(t[at], begin)
+            lo = hi
+        for i in np.flatnonzero(stops - starts > self.PLACES).tolist():
+            data = x[starts[i] : stops[i]].tobytes()
+            for k in range(len(self.tables)):
+                out[k][i] = xxhash.xxh64_intdigest(data, seed=k)
+        return out
 
 
 class Map:

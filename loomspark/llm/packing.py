@@ -7,7 +7,7 @@ its unused neighbours fill it by falling score; the one that overflows is cut, a
 shard is full but the last.
 
 Words are tokenised through a memo of bounded size, since the tokenizer treats what stands between white space on its own.
-Words of the memo are told apart by 64-bit keys.
+The memo finds words by one 64-bit key and proves them by a second, independent one; a word that fails is tokenised for itself.
 
 Defined cases: a null or empty text has the end id alone; rows that repeat an id are packed each for itself, and so are
 copies; a document longer than a window fills windows of its own and its rest is packed; an empty table gives no rows; other
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import staged, table
-from .hashed import Map, Runs, Spans, word_edges
+from .hashed import Map, Runs, WordKeys, grown, word_edges
 
 WINDOW, END_ID = 2048, 1
 SHARD_TOKENS, SHARD_ROWS = 1_000_000, 4096
@@ -95,9 +95,10 @@ class Tokens:
     """The tokenizer behind a memo of words, since it treats what stands between white space on its own.
 
     The memo goes by 64-bit keys of the words' bytes and is a few flat arrays; the words of many texts are looked up at once.
+    `key_bits` shortens the keys that it goes by, for tests of equal keys.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, key_bits: int = 64) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -108,11 +109,11 @@ class Tokens:
             self.merges = None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([END_ID], self.dtype).tobytes()
-        self.spans = Spans(CHUNK)
+        self.words, self.drop = WordKeys(2), np.uint64(64 - key_bits)
         self.forget()
 
     def forget(self) -> None:
-        self.map, self.ids = Map(MEMO_BITS), Runs(self.dtype)
+        self.map, self.ids, self.proofs = Map(MEMO_BITS), Runs(self.dtype), np.zeros(1 << 14, np.uint64)
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
@@ -153,16 +154,18 @@ class Tokens:
         data = b" ".join(group)
         x = np.frombuffer(data, np.uint8)
         starts, stops = word_edges(x)
-        keys = self.spans.keys(x, starts, stops)
+        keys, proofs = self.words.keys(x, starts, stops)
+        keys = keys >> self.drop << self.drop
         at = self.map.find(keys)
         missing = np.flatnonzero(at < 0)
         if len(missing):
             own, one, where = np.unique(keys[missing], return_index=True, return_inverse=True)
             one = missing[one]
-            ids, sizes = self._encode([data[a:b] for a, b in zip(starts[one].tolist(), stops[one].tolist(), strict=True)])
-            first = self.ids.add(ids, sizes)
-            self.map.add(own, np.arange(first, first + len(own)))
-            at[missing] = first + where
+            at[missing] = self._remember(data, starts[one], stops[one], proofs[one]) + where
+            self.map.add(own, at[one])
+        strange = np.flatnonzero(self.proofs[at] != proofs)
+        if len(strange):  # the key of another word: its ids are added without the key
+            at[strange] = self._remember(data, starts[strange], stops[strange], proofs[strange]) + np.arange(len(strange))
         ids, ends = self.ids.joined(at)
         lengths = np.array([len(d) for d in group]) + 1
         last = np.searchsorted(starts, np.cumsum(lengths))  # words up to the end of each text
@@ -170,6 +173,14 @@ class Tokens:
         raw = ids.tobytes()
         return [raw[lo:hi] + self.end for lo, hi in zip([0, *cuts], cuts, strict=False)]
 
+    def _remember(self, data: bytes, starts: np.ndarray, stops: np.ndarray, proofs: np.ndarray) -> int:
+        """Adds the words' ids and proofs; the place of the first."""
+        ids, sizes = self._encode([data[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)])
+        first = self.ids.add(ids, sizes)
+        self.proofs = grown(self.proofs, first, len(proofs))
+        self.proofs[first : first + len(proofs)] = proofs
+        return first
+
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All the words' ids in order, and how many each has."""
         fit = np.array([self.merges is not None and len(w) <= LONG_WORD and b"<|" not in w and _SIMPLE.fullmatch(w) is not None for w in words])
