@@ -257,13 +257,13 @@ def cluster(vectors: DataFrame, key: str = "vec_id", values: str = "embedding",
 
 def with_inertia(found: DataFrame, centroids: np.ndarray) -> DataFrame:
     """`found` with each cluster's and the whole sum of distances, and its centroid's digest."""
-    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
-    own = staged(found.groupBy("cluster").agg(exact("distance").alias("own")), "inertia")
-    total = own.agg(F.sum("own").alias("total"))
-    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
-    digest = F.element_at(F.lit(digests).cast("array<string>"), F.col("cluster") + 1)
-    sums = own.crossJoin(F.broadcast(total)).select("cluster", F.col("own").try_cast("long").alias("cluster_inertia"), F.col("total").try_cast("long").alias("inertia"), digest.alias("centroid_sha256"))
-    return found.join(F.broadcast(sums), "cluster")  # a row a cluster
+    got = found.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("own")).collect()  # a row a cluster
+    fits = lambda x: x if x < 1 << 63 else None
+    own = {r.cluster: int(r.own) for r in got}
+    sums = F.lit([fits(own.get(k, 0)) for k in range(len(centroids))]).cast("array<long>")
+    digests = F.lit([hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]).cast("array<string>")
+    at = F.col("cluster") + 1
+    return found.select("*", F.element_at(sums, at).alias("cluster_inertia"), F.lit(fits(sum(own.values()))).cast("long").alias("inertia"), F.element_at(digests, at).alias("centroid_sha256"))
 
 
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
