@@ -97,7 +97,7 @@ class Archive:
     """One archive as it is written: held back until the dictionary is known."""
 
     def __init__(self, files: fs.FileSystem, path: str, train_bytes: int) -> None:
-        self.out, self.train_bytes = files.open_output_stream(path), train_bytes
+        self.out, self.train_bytes = files.open_output_stream(path, compression=None), train_bytes  # else Arrow compresses what ends on .zst once more
         self.held, self.held_bytes, self.records, self.coder = [], 0, 0, None
 
     def add(self, data: bytes) -> None:
@@ -208,11 +208,13 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         return [ArchiveFile(name) for name, _, _ in manifest_of(self.path)]
 
-    def read(self, partition: ArchiveFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ArchiveFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition of none
+            return
         files, folder = store(self.path)
         bare = lambda x: x and x.strip("<>")
         rows, size = [], 0
-        with files.open_input_stream(posixpath.join(folder, partition.name)) as f:
+        with files.open_input_stream(posixpath.join(folder, partition.name), compression=None) as f:
             for of, block in records(f):
                 kind, said = of["warc-type"], base64.b32decode(of["warc-payload-digest"].removeprefix("sha1:")).hex()
                 payload = block[block.index(b"\r\n\r\n") + 4 :] if kind == "response" else None
