@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..naming import fresh
 from .relational import ConfigError, col
 
 SAMPLES = 20
+#: Columns that marking adds. Fixed names.
+MARKS = {"is_dirty": "boolean", "violation_reason": "string"}
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -63,14 +67,14 @@ def _fields(config: dict) -> list[str]:
     return [fields] if isinstance(fields, str) else list(fields)
 
 
-def violation(rule: Rule) -> Column:
+def violation(rule: Rule, copies: str = "_copies") -> Column:
     """Whether a row violates the rule: never null. For non_null_rate these are the missing rows; the rate decides whether
-    they count. For uniqueness the predicate needs `_copies`, which prepared() adds."""
+    they count. For uniqueness the predicate needs the column `copies`, which prepared() adds."""
     c = rule.rule_config
     if rule.rule_type == "non_null_rate":
         return col(c["field"]).isNull()
     if rule.rule_type == "uniqueness":
-        return F.col("_copies") > 1
+        return col(copies) > 1
     if rule.rule_type == "range_check":
         text = col(c["field"]).cast("string")
         x = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
@@ -85,30 +89,49 @@ def violation(rule: Rule) -> Column:
     raise ConfigError(f"unknown rule type {rule.rule_type!r}")
 
 
-def prepared(df: DataFrame, rule: Rule) -> DataFrame:
-    """`df` with what the rule's predicate needs: for uniqueness the number of rows alike in its fields.
+def prepared(df: DataFrame, rule: Rule, copies: str) -> DataFrame:
+    """`df` with what the rule's predicate needs: for uniqueness the number of rows alike in its fields, as `copies`.
 
     That count is a grouped one, joined back null-safely, so that a value which most rows share is no single task's work.
     """
     if rule.rule_type != "uniqueness":
         return df
     fields = _fields(rule.rule_config)
-    counts = df.groupBy(*[col(f).alias(f"_u{i}") for i, f in enumerate(fields)]).agg(F.count(F.lit(1)).alias("_copies"))
+    names = [fresh(f"_u{i}", df) for i in range(len(fields))]
+    counts = df.groupBy(*[col(f).alias(u) for f, u in zip(fields, names, strict=True)]).agg(F.count(F.lit(1)).alias(copies))
     on = F.lit(True)
-    for i, f in enumerate(fields):
-        on = on & col(f).eqNullSafe(F.col(f"_u{i}"))
-    return df.join(counts, on).drop(*[f"_u{i}" for i in range(len(fields))])
+    for f, u in zip(fields, names, strict=True):
+        on = on & col(f).eqNullSafe(col(u))
+    return df.join(counts, on).drop(*names)
 
 
 def evaluate(df: DataFrame, rule: Rule, samples: int = SAMPLES) -> Report:
     """Counts in one pass; violating rows are fetched only if there are any, `samples` of them."""
-    ready = prepared(df, rule)
-    bad = violation(rule)
-    got = ready.agg(F.count(F.lit(1)).alias("total"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("failed")).first()
-    report = Report(rule.rule_type, got.total, _counted(rule, got.total, got.failed), rule_id=rule.id)
-    if report.failed and samples:
-        report.samples = [r.asDict(recursive=True) for r in ready.filter(bad).drop("_copies").limit(samples).collect()]
-    return report
+    return evaluate_all(df, [rule], samples)[0]
+
+
+def evaluate_all(df: DataFrame, rules: list[Rule], samples: int = SAMPLES) -> list[Report]:
+    """A report for each rule, all on the same rows: one pass counts for all of them. If any is violated a second action
+    fetches `samples` rows of each that is; each shows the marks of the rules before it."""
+    ready, bads = df, []
+    for rule in rules:
+        copies = fresh("_copies", ready)
+        ready = prepared(ready, rule, copies)
+        bads.append(violation(rule, copies))
+    got = ready.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(F.sum(b.cast("long")), F.lit(0)).alias(f"f{i}") for i, b in enumerate(bads)]).first()
+    reports = [Report(r.rule_type, got.total, _counted(r, got.total, got[f"f{i}"]), rule_id=r.id) for i, r in enumerate(rules)]
+    parts = []
+    for i, (rule, bad, report) in enumerate(zip(rules, bads, reports, strict=True)):
+        if report.failed and samples:
+            marks = [F.col(c) if c in ready.columns else F.lit(None).cast(t).alias(c) for c, t in MARKS.items()]
+            parts.append(ready.filter(bad).limit(samples).select(F.lit(i).alias("rule"), F.struct(*[col(c) for c in df.columns]).alias("row"), F.struct(*marks).alias("marks")))
+        if i + 1 < len(rules):
+            ready = _marked(ready, rule, bad if report.failed else F.lit(False))
+    if parts:
+        for r in reduce(DataFrame.unionByName, parts).collect():
+            marks = r.marks.asDict() if r.rule or MARKS.keys() <= set(df.columns) else {}
+            reports[r.rule].samples.append(r.row.asDict(recursive=True) | marks)
+    return reports
 
 
 def _counted(rule: Rule, total: int, missing: int) -> int:
@@ -146,21 +169,27 @@ def reason(rule: Rule) -> str:
     return f"{rule.rule_type}: {rule.rule_config}"
 
 
-def mark(df: DataFrame, rule: Rule, counts: bool = True) -> DataFrame:
-    """Adds is_dirty and violation_reason, or adds to them. `counts` False: the rule holds as a whole, nothing is marked."""
-    ready = prepared(df, rule) if counts else df
-    bad = violation(rule) if counts else F.lit(False)
+def _marked(df: DataFrame, rule: Rule, bad: Column) -> DataFrame:
     dirty = F.col("is_dirty") if "is_dirty" in df.columns else F.lit(False)
     said = F.col("violation_reason") if "violation_reason" in df.columns else F.lit("")
     more = F.when(said == "", F.lit(reason(rule))).otherwise(F.concat(said, F.lit("; "), F.lit(reason(rule))))
-    return ready.withColumns({"is_dirty": bad | dirty, "violation_reason": F.when(bad, more).otherwise(said)}).drop("_copies")
+    return df.withColumns({"is_dirty": bad | dirty, "violation_reason": F.when(bad, more).otherwise(said)})
+
+
+def mark(df: DataFrame, rule: Rule, counts: bool = True) -> DataFrame:
+    """Adds is_dirty and violation_reason, or adds to them. `counts` False: the rule holds as a whole, nothing is marked."""
+    copies = fresh("_copies", df)
+    if not counts:
+        return _marked(df, rule, F.lit(False))
+    return _marked(prepared(df, rule, copies), rule, violation(rule, copies)).drop(copies)
 
 
 def split(df: DataFrame, rule: Rule, counts: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows that pass, rows that violate)."""
-    ready = prepared(df, rule) if counts else df
-    bad = violation(rule) if counts else F.lit(False)
-    return ready.filter(~bad).drop("_copies"), ready.filter(bad).drop("_copies")
+    copies = fresh("_copies", df)
+    ready = prepared(df, rule, copies) if counts else df
+    bad = violation(rule, copies) if counts else F.lit(False)
+    return ready.filter(~bad).drop(copies), ready.filter(bad).drop(copies)
 
 
 def quarantine_rows(df: DataFrame, rule: Rule) -> DataFrame:
@@ -172,34 +201,37 @@ def quarantine_rows(df: DataFrame, rule: Rule) -> DataFrame:
 def apply(df: DataFrame, rules: list[Rule], quarantine=None) -> tuple[DataFrame, list[Report]]:  # noqa: ANN001
     """Enabled rules in order, each on what the one before left. Returns the rows that go on and the reports.
 
+    Mark rules leave all rows, so those in a row, and the rule after them, are counted in one pass.
     `quarantine(rule, rows)` stores the rows a quarantine rule takes out. An abort rule raises QualityAbort, with the
     reports so far in its `reports`, once its own is made.
     """
-    reports = []
+    reports: list[Report] = []
     for rule in rules:
-        if not rule.is_enabled:
-            continue
-        report = evaluate(df, rule)
-        reports.append(report)
-        strategy = rule.failure_strategy
-        if strategy == "mark":
-            df = mark(df, rule, counts=not report.passed)
-        elif strategy == "quarantine":
-            if not report.passed:
-                df_ok, bad = split(df, rule)
+        if rule.is_enabled and rule.failure_strategy not in ("mark", "quarantine", "abort"):
+            raise ConfigError(f"unknown failure strategy {rule.failure_strategy!r}")
+    for run in _runs([r for r in rules if r.is_enabled]):
+        for rule, report in zip(run, evaluate_all(df, run), strict=True):
+            reports.append(report)
+            if rule.failure_strategy == "mark":
+                df = mark(df, rule, counts=not report.passed)
+            elif report.passed:
+                continue
+            elif rule.failure_strategy == "quarantine":
+                df, bad = split(df, rule)
                 if quarantine is not None:
                     quarantine(rule, bad)
-                df = df_ok
-        elif strategy == "abort":
-            if not report.passed:
+            else:
                 stop = QualityAbort(f"{report.failed} of {report.total} rows violate {reason(rule)}")
                 stop.reports = reports
                 raise stop
-        else:
-            raise ConfigError(f"unknown failure strategy {strategy!r}")
     return df, reports
 
 
-def duplicates_by_window(df: DataFrame, fields: list[str]) -> DataFrame:
-    """The windowed form of the uniqueness count, for keys known to be even: one shuffle instead of two."""
-    return df.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*[col(f) for f in fields])))
+def _runs(rules: list[Rule]) -> list[list[Rule]]:
+    """Rules that see the same rows: any number of mark rules and the one after them. A rule on the marks themselves begins anew."""
+    out: list[list[Rule]] = []
+    for rule in rules:
+        if not out or out[-1][-1].failure_strategy != "mark" or MARKS.keys() & set(_fields(rule.rule_config)):
+            out.append([])
+        out[-1].append(rule)
+    return out

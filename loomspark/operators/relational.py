@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..naming import fresh
 
 
 class ConfigError(ValueError):
@@ -92,7 +93,8 @@ def aggregate(df: DataFrame, config: dict) -> DataFrame:
     order = config.get("order_by")
     ordered = any(s["function"] in ("first", "last") for s in specs) and not order
     if ordered:  # the rows' order as scanned, fixed before the shuffle
-        df, order = df.withColumn("_ord", F.monotonically_increasing_id()), "_ord"
+        order = fresh("_ord", df)
+        df = df.withColumn(order, F.monotonically_increasing_id())
     rows = df.filter(reduce(lambda a, b: a & b, [col(k).isNotNull() for k in found]))
     out = rows.groupBy(*[col(k).alias(name) for k, name in zip(found, keys, strict=True)])
     return out.agg(*[_aggregate(rows, s, order) for s in specs])
@@ -121,14 +123,25 @@ def deduplicate(df: DataFrame, config: dict) -> DataFrame:
         return df.dropDuplicates()
     by = [col(c) for c in columns or df.columns]
     if keep in (False, "none"):
-        return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).filter("_n = 1").drop("_n")
-    order = config.get("order_by")
-    marked = df.withColumn("_ord", col(order) if order else F.monotonically_increasing_id())
+        return _unrepeated(df, columns or df.columns)
+    order, given = fresh("_ord", df), config.get("order_by")
+    marked = df.withColumn(order, col(given) if given else F.monotonically_increasing_id())
     # A grouped minimum, not a window: it combines before the shuffle, so one value with most rows costs no more.
     pick = F.min_by if keep == "first" else F.max_by
     whole = F.struct(*[col(c) for c in df.columns])
-    best = marked.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(by)]).agg(pick(whole, F.col("_ord")).alias("_row"))
-    return best.select("_row.*")
+    row = fresh("_row", df)
+    best = marked.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(by)]).agg(pick(whole, col(order)).alias(row))
+    return best.select(f"{row}.*")
+
+
+def _unrepeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose key no other row has: the keys are counted, which combines before the shuffle, and those met once are joined
+    back null-safely. A key that most rows share is one row by then, and a join can be split where a window couldn't."""
+    names = [fresh(f"_k{i}", df) for i in range(len(keys))]
+    n = fresh("_n", df)
+    once = df.groupBy(*[col(k).alias(a) for k, a in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias(n)).where(col(n) == 1)
+    on = reduce(lambda x, y: x & y, [col(k).eqNullSafe(col(a)) for k, a in zip(keys, names, strict=True)])
+    return df.join(once, on, "left_semi")
 
 
 def join(left: DataFrame, right: DataFrame, config: dict) -> DataFrame:
@@ -191,8 +204,9 @@ def branch(df: DataFrame, config: dict) -> dict[str, DataFrame]:
             break
         test = expr.two_valued(df, source)
         route = F.when(test, i) if route is None else route.when(test, i)
-    routed = df.withColumn("_branch", route)
-    return {f"branch_{i}": routed.filter(F.col("_branch") == i).drop("_branch") for i in range(len(branches))}
+    way = fresh("_branch", df)
+    routed = df.withColumn(way, route)
+    return {f"branch_{i}": routed.filter(col(way) == i).drop(way) for i in range(len(branches))}
 
 
 def limit(df: DataFrame, n: int = 10) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..naming import fresh
+
 #: The field of a mark, and where the configuration names the column, by mode. Fixed values.
 MODES = {"timestamp": ("last_timestamp", "timestamp_field"), "auto_increment_id": ("last_id", "id_field")}
 
@@ -110,12 +112,13 @@ def snapshot_changes(old: DataFrame, new: DataFrame, keys: list[str], table: str
     on = F.lit(True)
     for k in keys:
         on = on & F.col(f"o.`{k}`").eqNullSafe(F.col(f"n.`{k}`"))
-    mark = lambda df, side: df.select(*[F.col(f"`{c}`") for c in cols], F.lit(True).alias("_there")).alias(side)
+    there = fresh("_there", old, new)
+    mark = lambda df, side: df.select(*[F.col(f"`{c}`") for c in cols], F.lit(True).alias(there)).alias(side)
     both = mark(old, "o").join(mark(new, "n"), on, "full")
     differs = F.lit(False)
     for c in cols:
         differs = differs | ~F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`"))
-    kind = F.when(F.col("o._there").isNull(), "INSERT").when(F.col("n._there").isNull(), "DELETE").when(differs, "UPDATE")
+    kind = F.when(F.col(f"o.{there}").isNull(), "INSERT").when(F.col(f"n.{there}").isNull(), "DELETE").when(differs, "UPDATE")
     part = lambda k: F.coalesce(F.col(f"n.`{k}`"), F.col(f"o.`{k}`")).cast("string")
     out = both.select(
         F.lit(table).alias("table_name"), kind.alias("operation_type"), F.concat_ws("-", *[part(k) for k in keys]).alias("record_id"),
@@ -174,10 +177,10 @@ def latest_images(log: DataFrame, schema: str, order: str = "id") -> DataFrame:
 
 def apply_changes(base: DataFrame, log: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
     """`base` after the log: changed records replaced, deleted ones gone, new ones added."""
-    fresh = latest_images(log, base.schema.simpleString(), order)
+    images, id_ = latest_images(log, base.schema.simpleString(), order), fresh("_record", base)
     record: Column = F.concat_ws("-", *[F.col(f"`{k}`").cast("string") for k in keys])
-    touched = log.select(F.col("record_id").alias("_record")).distinct()
-    return base.join(touched, record == F.col("_record"), "left_anti").unionByName(fresh.select(*base.columns))
+    touched = log.select(F.col("record_id").alias(id_)).distinct()
+    return base.join(touched, record == F.col(id_), "left_anti").unionByName(images.select(*[F.col(f"`{c}`") for c in base.columns]))
 
 
 def stream_new_files(spark: SparkSession, path: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:  # noqa: ANN001
