@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import quality, relational
+from .operators import ordering, quality, quantiles, relational, sketches, temporal
 from .plans import lineage, runtime, templates, workflow
 from .sources import readers, writers
-from .streaming import incremental
+from .streaming import digests, incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -552,3 +552,135 @@ def revenue_by_nation(spark: SparkSession, sf: str) -> DataFrame:
     df = relational.join(df, _t(spark, sf, "nation"), {"left_key": "c_nationkey", "right_key": "n_nationkey"})
     df = df.withColumn("net", expr.expression(df, "l_extendedprice * (1 - l_discount)"))
     return _money(relational.aggregate(df, {"group_by": ["n_name"], "aggregations": [{"column": "net", "function": "sum", "alias": "revenue"}]}), revenue=2)
+
+
+# whole tables: order as data, ranks, joins by order, joins with rows that have no match
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) - 1 AS place FROM orders")
+def sort_orders_whole(spark: SparkSession, sf: str) -> DataFrame:
+    keys = [F.col("o_orderpriority").asc_nulls_last(), F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]
+    return ordering.with_place(_t(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), keys).select("o_orderkey", "place")
+
+
+@query(f"SELECT event_id, row_number() OVER (ORDER BY v DESC NULLS LAST, event_id) - 1 AS place FROM {_GAPS}")
+def sort_events_whole(spark: SparkSession, sf: str) -> DataFrame:
+    keys = [F.col("v").desc_nulls_last(), F.col("event_id").asc_nulls_last()]
+    return ordering.with_place(_gaps(_t(spark, sf, "events")).select("event_id", "v"), keys).select("event_id", "place")
+
+
+_WANTED = {"low": ("l_extendedprice", 0.1), "middle": ("l_extendedprice", 0.5), "high": ("l_extendedprice", 0.995), "q": ("q", 0.5)}
+
+
+@query(f"SELECT l_returnflag, {', '.join(f'round(quantile_cont({c}, {q}), 6) AS {a}' for a, (c, q) in _WANTED.items())} FROM {_LINES} GROUP BY l_returnflag")
+def agg_quantiles_by_rank(spark: SparkSession, sf: str) -> DataFrame:
+    return _money(quantiles.quantiles(_lines(spark, sf), ["l_returnflag"], _WANTED), low=6, middle=6, high=6, q=6)
+
+
+@query(f"SELECT {', '.join(f'round(quantile_cont({c}, {q}), 6) AS {a}' for a, (c, q) in _WANTED.items())} FROM {_LINES}")
+def agg_quantiles_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """One group with all rows: cut into ranges all the same."""
+    return _money(quantiles.quantiles(_lines(spark, sf), [], _WANTED), low=6, middle=6, high=6, q=6)
+
+
+@query("SELECT o_custkey, round(quantile_cont(o_totalprice, 0.5), 6) AS middle FROM orders GROUP BY o_custkey")
+def agg_quantiles_many_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return _money(quantiles.quantiles(_t(spark, sf, "orders"), ["o_custkey"], {"middle": ("o_totalprice", 0.5)}), middle=6)
+
+
+_PURCHASES = "(SELECT user_id, ts, max(event_id) AS last_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)"
+
+
+def _purchases(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "events").filter("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("last_id"))
+
+
+@query(f"SELECT event_id, last_id FROM events e ASOF LEFT JOIN {_PURCHASES} p ON e.user_id = p.user_id AND e.ts >= p.ts")
+def join_asof(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event with its user's last purchase up to then."""
+    return temporal.as_of(_t(spark, sf, "events").select("event_id", "user_id", "ts"), _purchases(spark, sf), "ts", ["user_id"]).select("event_id", "last_id")
+
+
+@query(f"SELECT event_id, last_id FROM events e ASOF JOIN {_PURCHASES} p ON e.user_id = p.user_id AND e.ts < p.ts WHERE p.ts - e.ts <= INTERVAL 6 HOUR")
+def join_asof_next(spark: SparkSession, sf: str) -> DataFrame:
+    """Events that the user's next purchase follows within six hours."""
+    return temporal.as_of(_t(spark, sf, "events").select("event_id", "user_id", "ts"), _purchases(spark, sf), "ts", ["user_id"], direction="forward", exact=False, tolerance=6 * 3600, how="inner").select("event_id", "last_id")
+
+
+@query("SELECT event_id, last_id FROM events e ASOF LEFT JOIN (SELECT ts, max(event_id) AS last_id FROM events WHERE event_type = 'error' GROUP BY ts) p ON e.ts > p.ts")
+def join_asof_one_key(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows under one key: the last error before each event, whoever's."""
+    errors = _t(spark, sf, "events").filter("event_type = 'error'").select("ts", F.col("event_id").alias("last_id"))
+    return temporal.as_of(_t(spark, sf, "events").select("event_id", "ts"), errors, "ts", exact=False).select("event_id", "last_id")
+
+
+@query("SELECT e.event_id, x.event_id AS error_id FROM events e JOIN events x ON e.user_id = x.user_id AND x.event_type = 'error' AND e.ts BETWEEN x.ts AND x.ts + INTERVAL 12 HOUR")
+def join_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of a user in the twelve hours after an error."""
+    errors = _t(spark, sf, "events").filter("event_type = 'error'").select("user_id", F.col("event_id").alias("error_id"), F.col("ts").alias("since"), (F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("until"))
+    return temporal.range_join(_t(spark, sf, "events").select("event_id", "user_id", "ts"), errors, "ts", "since", "until", ["user_id"]).select("event_id", "error_id")
+
+
+@query("SELECT e.event_id, x.event_id AS signup_id FROM events e LEFT JOIN events x ON x.event_type = 'signup' AND e.ts >= x.ts AND e.ts < x.ts + to_seconds(x.event_id % 5 * 60)")
+def join_range_one_key(spark: SparkSession, sf: str) -> DataFrame:
+    """No key at all, and intervals of several lengths: events in the minutes after a signup, others with none."""
+    signups = _t(spark, sf, "events").filter("event_type = 'signup'").select(F.col("event_id").alias("signup_id"), F.col("ts").alias("since"), F.expr("ts + make_interval(0, 0, 0, 0, 0, event_id % 5, 0)").alias("until"))
+    return temporal.range_join(_t(spark, sf, "events").select("event_id", "ts"), signups, "ts", "since", "until", closed="left", how="left").select("event_id", "signup_id")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_totalprice FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY")
+def join_range_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with their order's price where they were shipped within thirty days."""
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate").withColumn("k", F.col("l_orderkey"))
+    due = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), "o_totalprice", "o_orderdate", (F.col("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("due"))
+    return temporal.range_join(lines, due, "l_shipdate", "o_orderdate", "due", ["k"], how="left").select("l_orderkey", "l_linenumber", "o_totalprice")
+
+
+@query("SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate <= b.o_orderdate + INTERVAL 20 DAY AND b.o_orderdate <= a.o_orderdate + INTERVAL 10 DAY")
+def join_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a customer's orders whose spans, of ten and twenty days, overlap."""
+    span = lambda name, days: _t(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias(name), F.col("o_orderdate").alias("since"), (F.col("o_orderdate") + F.expr(f"INTERVAL {days} DAYS")).alias("until"))
+    return temporal.overlap_join(span("a", 10), span("b", 20), ("since", "until"), ("since", "until"), ["o_custkey"]).select("a", "b")
+
+
+for _how, _sql in (("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN"), ("inner", "JOIN")):
+    # Orders by key against customers by number: either side has rows without a match.
+    _join_query(f"join_{_how}_whole", "SELECT o_orderkey, o_totalprice FROM orders", "SELECT c_custkey * 11 AS number, c_name FROM customer", {"join_type": _how, "left_key": "o_orderkey", "right_key": "number"}, ["o_orderkey", "number", "c_name", "o_totalprice"], f"SELECT o_orderkey, number, c_name, o_totalprice FROM orders {_sql} (SELECT c_custkey * 11 AS number, c_name FROM customer) ON o_orderkey = number")
+_join_query("join_samekey_whole", "SELECT c_custkey AS k, c_name FROM customer", "SELECT s_suppkey * 20 + 7 AS k, s_name FROM supplier", {"join_type": "outer", "left_key": "k", "right_key": "k"}, ["k", "c_name", "s_name"], "SELECT coalesce(c_custkey, s_suppkey * 20 + 7) AS k, c_name, s_name FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 20 + 7")
+
+
+# sketches, digests
+
+_SKETCHES = [sketches.Sketch("users", "user_id"), sketches.Sketch("moments", "ts_text", "theta"), sketches.Sketch("amounts", "value", "kll")]
+
+
+@query("SELECT event_type, count(*) AS rows_seen, count(DISTINCT user_id) AS users, count(DISTINCT ts) AS moments, true AS users_near, true AS moments_near, true AS middle_near, true AS high_near FROM events GROUP BY event_type")
+def sketch_merged_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of three batches, merged one after the other, against exact figures of all rows: within 5 % and 3 % of the ranks."""
+    df = _t(spark, sf, "events").withColumn("ts_text", F.col("ts").cast("string"))
+    batch, state = F.month("ts") % 3, None
+    for k in range(3):
+        new = sketches.states(df.filter(batch == k), ["event_type"], _SKETCHES)
+        state = new if state is None else sketches.merged(state, new, ["event_type"], _SKETCHES)
+    exact = df.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"), F.count_distinct("ts").alias("moments"))
+    said = state.select("event_type", "rows_seen", sketches.distinct_estimate("users").alias("_u"), sketches.distinct_estimate("moments", "theta").alias("_m"), sketches.quantile_estimate("amounts", 0.5).alias("_q"), sketches.quantile_estimate("amounts", 0.95).alias("_h"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.col(b) * 0.05 + 1
+    # The true rank of what the sketch says is the quantile.
+    ranks = df.join(F.broadcast(said.select("event_type", "_q", "_h")), "event_type").groupBy("event_type").agg(F.avg((F.col("value") <= F.col("_q")).cast("double")).alias("_qr"), F.avg((F.col("value") <= F.col("_h")).cast("double")).alias("_hr"))
+    out = said.join(exact, "event_type").join(ranks, "event_type")
+    return out.select("event_type", "rows_seen", "users", "moments", near("_u", "users").alias("users_near"), near("_m", "moments").alias("moments_near"), (F.abs(F.col("_qr") - 0.5) < 0.03).alias("middle_near"), (F.abs(F.col("_hr") - 0.95) < 0.03).alias("high_near"))
+
+
+@query(ORACLES["cdc_snapshot_diff"])
+def cdc_digest_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The change log from digest trees: buckets that agree aren't joined."""
+    return digests.digest_changes(*_snapshots(spark, sf), ["c_custkey"], "customer")[0].select("operation_type", "record_id")
+
+
+@query("SELECT 'UPDATE' AS operation_type, o_orderkey::VARCHAR AS record_id FROM orders WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders)")
+def cdc_digest_few(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders against themselves with the dearest one changed: one leaf is joined."""
+    old = _t(spark, sf, "orders")
+    top = old.agg(F.max("o_totalprice")).first()[0]
+    new = old.withColumn("o_orderstatus", F.when(F.col("o_totalprice") == top, "changed").otherwise(F.col("o_orderstatus")))
+    return digests.digest_changes(old, new, ["o_orderkey"], "orders")[0].select("operation_type", "record_id")
