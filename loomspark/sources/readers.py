@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import sqlite
+from ..staging import shared_path
+from . import http, sqlite
 
 #: What a CSV field may hold for a missing value. Fixed values.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -111,7 +112,14 @@ def _landing(spark: SparkSession) -> str:
 
 
 def read_http(spark: SparkSession, config: dict, strict: bool = False) -> DataFrame:
-    """Fetched once by the driver and landed as JSON lines; nested objects become structs."""
+    """Landed once as JSON lines, so that later uses don't ask again; nested objects become structs. With `paging` the tasks
+    fetch the pages and land them; without, one response is the driver's. `schema` (DDL) spares the pass that infers types."""
+    if config.get("paging"):
+        http.register(spark)
+        path = shared_path(spark, "http")
+        spark.read.format("loomspark_http").option("config", json.dumps(config)).load().write.text(path)
+        reader = spark.read.schema(config["schema"]) if config.get("schema") else spark.read
+        return tidy(reader.json(path))
     rows = fetch(config, strict)
     if not rows:
         return spark.createDataFrame([], T.StructType([]))
@@ -160,5 +168,12 @@ def store_upload(data: bytes, filename: str, folder: str) -> str:
     return path
 
 
+def stream_http(spark: SparkSession, config: dict) -> DataFrame:
+    """A stream of a paged endpoint's rows as they are appended; `schema` (DDL) is needed."""
+    http.register(spark)
+    lines = spark.readStream.format("loomspark_http").option("config", json.dumps(config)).load()
+    return lines.select(F.from_json("value", config["schema"]).alias("r")).select("r.*")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..naming import fresh
+from ..staging import shared_path
 
 #: The field of a mark, and where the configuration names the column, by mode. Fixed values.
 MODES = {"timestamp": ("last_timestamp", "timestamp_field"), "auto_increment_id": ("last_id", "id_field")}
@@ -59,14 +61,46 @@ def _column(df: DataFrame, config: dict) -> str | None:
     return name if name in df.columns else None
 
 
+#: Ids at a mark's own moment that the mark itself holds; more are kept as a table.
+IDS_IN_MARK = 10_000
+
+
+def _tie(df: DataFrame, config: dict) -> str | None:
+    """The column that tells rows of one moment apart, if the mark goes by both."""
+    name = config.get("tie_field")
+    return name if name in df.columns and config.get("mode") == "timestamp" else None
+
+
+def _id_text(df: DataFrame, tie: str) -> Column:
+    """An id as text; rows without one are alike."""
+    return F.coalesce(F.col(f"`{tie}`").cast("string"), F.lit(""))
+
+
+def _seen(df: DataFrame, at: Column, tie: str, mark: dict, keep: bool) -> DataFrame:
+    """`df` with, of the rows where `at` holds, only those whose ids the mark names (`keep`), or only others."""
+    if mark.get("ids_path"):
+        ids, name = df.sparkSession.read.parquet(mark["ids_path"]), fresh("_seen_id", df)
+        ids = ids.select(F.col("id").alias(name))
+        here = df.filter(at).join(ids, _id_text(df, tie) == F.col(name), "left_semi" if keep else "left_anti")
+        return df.filter(~F.coalesce(at, F.lit(False))).unionByName(here)
+    named = _id_text(df, tie).isin(mark.get("ids_at") or [])
+    return df.filter(~F.coalesce(at, F.lit(False)) | (named if keep else ~named))
+
+
 def newer(df: DataFrame, config: dict, mark: dict | None) -> DataFrame:
-    """Rows strictly past the mark; all rows if there is no mark, mode or column. The comparison reaches a Parquet scan."""
+    """Rows strictly past the mark; all rows if there is no mark, mode or column. The comparison reaches a Parquet scan.
+
+    With a `tie_field` the mark is a moment and the ids loaded at it: rows of that very moment with other ids, which came late,
+    are past it too. Rows of it without an id are past it until one such has been loaded.
+    """
     name = _column(df, config)
     value = (mark or {}).get(MODES[config["mode"]][0]) if name else None
     if value is None:
         return df
-    kind = df.schema[name].dataType.simpleString()
-    return df.filter(F.col(f"`{name}`") > F.lit(value).cast(kind))
+    c, top, tie = F.col(f"`{name}`"), F.lit(value).cast(df.schema[name].dataType.simpleString()), _tie(df, config)
+    if tie is None or not ("ids_at" in mark or "ids_path" in mark):
+        return df.filter(c > top)
+    return _seen(df.filter(c >= top), c == top, tie, mark, keep=False)
 
 
 def next_mark(rows: DataFrame, config: dict, mark: dict | None) -> dict | None:
@@ -77,13 +111,33 @@ def next_mark(rows: DataFrame, config: dict, mark: dict | None) -> dict | None:
     top = rows.agg(F.max(f"`{name}`")).first()[0]
     if top is None:
         return mark
-    return {MODES[config["mode"]][0]: top.isoformat(sep=" ") if isinstance(top, (datetime, date)) else top}
+    text = top.isoformat(sep=" ") if isinstance(top, (datetime, date)) else top
+    out, tie = {MODES[config["mode"]][0]: text}, _tie(rows, config)
+    return out if tie is None else out | _ids_at(rows, config, name, tie, text, mark or {})
+
+
+def _ids_at(rows: DataFrame, config: dict, name: str, tie: str, top: object, mark: dict) -> dict:
+    """The ids loaded at the moment `top`, the earlier mark's among them if it is of that moment: named in the mark, or where they
+    are many as a table in `ids_dir` (the shared folder where that isn't given)."""
+    spark = rows.sparkSession
+    at = rows.filter(F.col(f"`{name}`") == F.lit(top).cast(rows.schema[name].dataType.simpleString()))
+    ids = at.select(_id_text(rows, tie).alias("id"))
+    if mark.get("last_timestamp") == top:
+        before = spark.read.parquet(mark["ids_path"]) if mark.get("ids_path") else spark.createDataFrame([(i,) for i in mark.get("ids_at") or []], "id string")
+        ids = ids.unionByName(before)
+    some = [r.id for r in ids.distinct().limit(IDS_IN_MARK + 1).collect()]
+    if len(some) <= IDS_IN_MARK:
+        return {"ids_at": sorted(some)}
+    path = f"{config['ids_dir']}/ids-{uuid.uuid4().hex}" if config.get("ids_dir") else shared_path(spark, "ids")
+    ids.distinct().write.parquet(path)
+    return {"ids_path": path}
 
 
 def sync(df: DataFrame, config: dict, store: MarkStore, source: object) -> tuple[DataFrame, Callable[[], dict | None]]:
     """(new rows, commit): the caller commits once the rows are safely written, so that none is lost or delivered twice.
 
-    The next mark is taken first and bounds the rows: what arrives while they are written is left to the next call.
+    The next mark is taken first and bounds the rows: what arrives while they are written is left to the next call. With a
+    `tie_field` that holds for rows of the mark's own moment too.
     """
     if not config.get("enabled", True):
         return df, lambda: None
@@ -92,9 +146,12 @@ def sync(df: DataFrame, config: dict, store: MarkStore, source: object) -> tuple
     rows = newer(df, config, mark)
     after, name = next_mark(rows, config, mark), _column(df, config)
     if name is not None:
-        c, value = F.col(f"`{name}`"), (after or {}).get(MODES[config["mode"]][0])
-        past = c <= F.lit(value).cast(df.schema[name].dataType.simpleString()) if value is not None else F.lit(False)
+        c, value, tie = F.col(f"`{name}`"), (after or {}).get(MODES[config["mode"]][0]), _tie(df, config)
+        top = F.lit(value).cast(df.schema[name].dataType.simpleString()) if value is not None else None
+        past = c <= top if value is not None else F.lit(False)
         rows = rows.filter(past if mark else past | c.isNull())
+        if tie is not None and value is not None:
+            rows = _seen(rows, c == top, tie, after, keep=True)
 
     def commit() -> dict | None:
         return store.put(source, config["mode"], after) if after is not None and after != mark else held
