@@ -42,6 +42,8 @@ def one_row_each(docs: DataFrame, proof: str, kept: DataFrame) -> DataFrame:
     names = {c: fresh(c, docs) for c in ("_id", "_text", "_rows")}
     some = kept.select(*[F.col(c).alias(n) for c, n in names.items()])
     on = F.col("doc_id").eqNullSafe(F.col(names["_id"])) & (F.col(proof) == F.col(names["_text"]))
+    if kept.where("_rows > 1").isEmpty():
+        return docs.join(some, on, "left_semi")
     once = docs.join(some.where(F.col(names["_rows"]) == 1), on, "left_semi")
     many = docs.join(some.where(F.col(names["_rows"]) > 1), on, "left_semi")
     return once.unionByName(many.dropDuplicates(["doc_id", proof]))
