@@ -324,6 +324,11 @@ def expression(df: DataFrame, source: str) -> Column:
     return _Translator(df.schema, names).value(tree)[0]
 
 
+def tree(source: str) -> tuple[ast.expr, dict[str, str]]:
+    """The text's syntax tree, and the columns that its stand-ins for quoted names mean, for those who translate it otherwise."""
+    return _parse(source)
+
+
 def columns_used(source: str) -> list[str]:
     """The names that an expression reads, in order; what they are is the caller's to know."""
     tree, names = _parse(source)

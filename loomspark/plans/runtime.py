@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..operators import quality, relational
 from ..sources import readers, writers
 from ..streaming import incremental
-from . import lineage
+from . import lineage, pushdown
 from .spec import Node, Pipeline
 from .store import Store, new_id
 
@@ -61,17 +61,19 @@ class Run:
         return sum(s.output_rows or 0 for s in self.states.values() if s.status == COMPLETED)
 
 
-def build(spark: SparkSession, spec: dict, frames: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def build(spark: SparkSession, spec: dict, frames: dict[str, DataFrame] | None = None, push: bool = True) -> dict[str, DataFrame]:
     """The lazy DataFrame of every node (branches under id.branch_i), sinks left out. Nothing runs.
 
-    `frames` stands in for nodes that are given, such as sources in tests.
+    `frames` stands in for nodes that are given, such as sources in tests. `push`: what follows a SQLite source reads it by SQL that
+    has its conditions and columns; the source's own frame stays whole.
     """
     pipeline, out = Pipeline.parse(spec), dict(frames or {})
     for key in pipeline.order():
         node = pipeline.node(key)
         if key in out or node.type == "output":
             continue
-        out |= _node_frames(spark, pipeline, node, out)
+        given = pushdown.narrowed(spark, pipeline, node, out, set(frames or {})) if push else None
+        out |= _node_frames(spark, pipeline, node, out, given)
     return out
 
 
@@ -86,8 +88,8 @@ def _input(pipeline: Pipeline, edge, out: dict[str, DataFrame]) -> DataFrame:  #
     return out[edge.source]
 
 
-def _node_frames(spark: SparkSession, pipeline: Pipeline, node: Node, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    inputs = [_input(pipeline, e, out) for e in pipeline.inputs(node.id)]
+def _node_frames(spark: SparkSession, pipeline: Pipeline, node: Node, out: dict[str, DataFrame], given: DataFrame | None = None) -> dict[str, DataFrame]:
+    inputs = [_input(pipeline, e, out) for e in pipeline.inputs(node.id)] if given is None else [given]
     if node.type == "source":
         c = node.config
         kind = c.get("source_type") or c.get("type")

@@ -81,12 +81,14 @@ def read_sql(spark: SparkSession, config: dict) -> DataFrame:
     return spark.sql(config["query"])
 
 
-def read_sqlite(spark: SparkSession, config: dict) -> DataFrame:
+def read_sqlite(spark: SparkSession, config: dict, schema: T.StructType | None = None) -> DataFrame:
+    """`where` and `row_limit` go into the SQL that SQLite sees; a `schema` spares the pass that tells types, and names the columns."""
     if not config.get("query") and not config.get("table_name"):
         raise ValueError("a SQLite source needs a query or a table_name")
     sqlite.register(spark)
-    options = {k: str(v) for k, v in config.items() if k in ("db_path", "query", "table_name", "partitions") and v}
-    return tidy(spark.read.format("loomspark_sqlite").options(**options).load())
+    options = {k: str(v) for k, v in config.items() if k in ("db_path", "query", "table_name", "partitions", "where", "row_limit") and v}
+    reader = spark.read.format("loomspark_sqlite").options(**options)
+    return tidy((reader if schema is None else reader.schema(schema)).load())
 
 
 def fetch(config: dict, strict: bool = False) -> list:
@@ -148,7 +150,8 @@ def preview(spark: SparkSession, kind: str, config: dict, limit: int = 10) -> tu
         rows = fetch(config, strict=True)
         return (list(dict.fromkeys(k for r in rows for k in r)), rows[:limit], len(rows))
     df = read(spark, kind, config)
-    return df.columns, [r.asDict(recursive=True) for r in df.limit(limit).collect()], df.count()
+    first = read_sqlite(spark, config | {"row_limit": limit}, df.schema) if kind == "sqlite" and limit > 0 else df
+    return df.columns, [r.asDict(recursive=True) for r in first.limit(limit).collect()], df.count()
 
 
 def list_csv_files(spark: SparkSession, folder: str) -> DataFrame:

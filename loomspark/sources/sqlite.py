@@ -1,8 +1,10 @@
 """SQLite tables and queries as a Spark data source, in both directions.
 
-Reading splits a table by rowid ranges; a query is one partition. Filters aren't pushed to SQLite: Spark keeps a Python reader
-with its filters for all uses of a DataFrame, so that a second use would miss the rows that the first filtered out. Put them
-into the query instead. Writing goes through one partition, since SQLite has one writer.
+Reading splits a table by rowid ranges; a query is one partition. Spark's own filters aren't pushed to SQLite: Spark keeps a Python
+reader with its filters for all uses of a DataFrame, so that a second use would miss the rows that the first filtered out.
+Instead a pipeline that is folded gives what it knows as options of a frame of its own: `where` (SQL over the table's columns),
+`row_limit`, and the columns by the schema it asks for (plans/pushdown.py). Writing goes through one partition, since SQLite has
+one writer.
 """
 
 from __future__ import annotations
@@ -25,6 +27,12 @@ def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def text_columns(db_path: str, table: str) -> set[str]:
+    """Columns that are declared to hold text, in which SQLite keeps numbers as text too."""
+    with sqlite3.connect(db_path) as db:
+        return {r[1] for r in db.execute(f"PRAGMA table_info({quoted(table)})") if isinstance(_declared(r[2]), T.StringType)}
+
+
 def list_tables(db_path: str) -> list[str]:
     with sqlite3.connect(db_path) as db:
         return [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name")]
@@ -54,24 +62,32 @@ class Slice(InputPartition):
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.path, self.table, self.query, self.schema = options["db_path"], options.get("table_name"), options.get("query"), schema
-        self.parts = int(options.get("partitions", 4))
+        self.parts, self.where, self.limit = int(options.get("partitions", 4)), options.get("where"), options.get("row_limit")
 
     def partitions(self) -> Sequence[InputPartition]:
-        cols = ", ".join(quoted(f.name) for f in self.schema.fields)
+        cols = ", ".join(quoted(f.name) for f in self.schema.fields) or "NULL"
+        some = f"({self.where})" if self.where else "TRUE"
         if self.query:
-            return [Slice(f"SELECT {cols} FROM ({self.query.rstrip().rstrip(';')})")]
+            return [Slice(f"SELECT {cols} FROM ({self.query.rstrip().rstrip(';')}) WHERE {some}{self._limited()}")]
         name = quoted(self.table)
         with sqlite3.connect(self.path) as db:
             try:
                 lo, hi = db.execute(f"SELECT min(rowid), max(rowid) FROM {name}").fetchone()
             except sqlite3.OperationalError:  # a table without rowid
-                return [Slice(f"SELECT {cols} FROM {name}")]
+                return [Slice(f"SELECT {cols} FROM {name} WHERE {some}{self._limited()}")]
         if lo is None:
             return []
+        if self.limit:
+            return [Slice(f"SELECT {cols} FROM {name} WHERE {some}{self._limited()}")]
         step = (hi - lo) // self.parts + 1
-        return [Slice(f"SELECT {cols} FROM {name} WHERE rowid BETWEEN ? AND ?", (a, min(hi, a + step - 1))) for a in range(lo, hi + 1, step)]
+        return [Slice(f"SELECT {cols} FROM {name} WHERE rowid BETWEEN ? AND ? AND {some}", (a, min(hi, a + step - 1))) for a in range(lo, hi + 1, step)]
+
+    def _limited(self) -> str:
+        return f" LIMIT {int(self.limit)}" if self.limit else ""
 
-    def read(self, partition: Slice) -> Iterator[tuple]:
+    def read(self, partition: Slice | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition of none
+            return
         kinds = [f.dataType for f in self.schema.fields]
         with sqlite3.connect(self.path) as db:
             for row in db.execute(partition.sql, partition.params):
