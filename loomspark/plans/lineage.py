@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from . import sql_lineage
 from .spec import Node, Pipeline, reachable
 
 SCHEMA = "pipeline_id string, execution_id string, source_table string, source_column string, target_table string, target_column string, transform_path array<struct<type:string,node:string,detail:string>>"
@@ -89,8 +90,11 @@ class Tracker:
     at: dict[str, Columns] = field(default_factory=dict)
     rows: list[tuple] = field(default_factory=list)
 
-    def source(self, node: Node, columns: list[str]) -> None:
-        self.at[node.id] = {c: frozenset([Origin(table_name(node), c)]) for c in columns}
+    def source(self, node: Node, columns: list[str], df: DataFrame | None = None) -> None:
+        """`df`: the frame of a source that is a query over Spark's tables, whose columns are followed to theirs."""
+        found = sql_lineage.column_origins(df) if df is not None and (node.config.get("source_type") or node.config.get("type")) == "sql" else {}
+        of = lambda c: frozenset(Origin(t or table_name(node), x, (("sql", node.id, c),)) for t, x in found[c]) if found.get(c) else frozenset([Origin(table_name(node), c)])
+        self.at[node.id] = {c: of(c) for c in columns}
 
     def transform(self, node: Node, pipeline: Pipeline, columns: list[str]) -> None:
         self.at[node.id] = through(node, [self.at.get(e.source, {}) for e in pipeline.inputs(node.id)], columns)

@@ -213,7 +213,7 @@ class Executor:
 
     def _trace(self, run: Run, node: Node, out: dict[str, DataFrame]) -> None:
         if node.type == "source":
-            run.lineage.source(node, out[node.id].columns)
+            run.lineage.source(node, out[node.id].columns, out[node.id])
         else:
             run.lineage.transform(node, self.pipeline, out[node.id].columns)
 
