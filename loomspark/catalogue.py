@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expr
-from .operators import ordering, quality, quantiles, relational, sketches, temporal
-from .plans import lineage, runtime, templates, workflow
+from .operators import frames, ordering, quality, quantiles, relational, sketches, temporal
+from .plans import lineage, runtime, sql_lineage, templates, workflow
 from .sources import readers, writers
-from .streaming import digests, incremental
+from .staging import shared_path
+from .streaming import digests, eventtime, incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -684,3 +685,110 @@ def cdc_digest_few(spark: SparkSession, sf: str) -> DataFrame:
     top = old.agg(F.max("o_totalprice")).first()[0]
     new = old.withColumn("o_orderstatus", F.when(F.col("o_totalprice") == top, "changed").otherwise(F.col("o_orderstatus")))
     return digests.digest_changes(old, new, ["o_orderkey"], "orders")[0].select("operation_type", "record_id")
+
+
+# frames of peer groups, event time
+
+
+_DAYS = "(SELECT *, floor(value / 10)::BIGINT AS step FROM events)"
+
+
+def _steps(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "events").select("event_id", "event_type", F.floor(F.col("value") / 10).alias("step"), F.col("user_id"))
+
+
+def _frame(name: str, start: int | None, end: int | None, exclude: str, over: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        asks = {"n": ("count", "user_id"), "total": ("sum", "user_id"), "least": ("min", "user_id"), "most": ("max", "user_id")}
+        return frames.groups_frame(_steps(spark, sf), ["event_type"], [("step", True)], start, end, asks, exclude).select("event_id", "n", "total", "least", "most")
+
+    w = f"OVER (PARTITION BY event_type ORDER BY step GROUPS BETWEEN {over})"
+    QUERIES[name], ORACLES[name] = run, f"SELECT event_id, count(user_id) {w} AS n, sum(user_id) {w}::BIGINT AS total, min(user_id) {w} AS least, max(user_id) {w} AS most FROM {_DAYS}"
+
+
+_frame("window_groups", -2, 1, "no others", "2 PRECEDING AND 1 FOLLOWING")
+_frame("window_groups_exclude_row", -1, 1, "current row", "1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW")
+_frame("window_groups_exclude_group", None, 1, "group", "UNBOUNDED PRECEDING AND 1 FOLLOWING EXCLUDE GROUP")
+_frame("window_groups_exclude_ties", 0, 2, "ties", "CURRENT ROW AND 2 FOLLOWING EXCLUDE TIES")
+
+
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS window_start, event_type, count(*) AS events, sum(user_id)::BIGINT AS users FROM events GROUP BY ALL")
+def stream_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Six-hour windows counted by a stream over the events' files; repeated ids would count once."""
+    schema, path = _t(spark, sf, "events").schema, shared_path(spark, "windows")
+    # Watermarks go by timestamps with a zone; the moments are taken as UTC and given back without one.
+    rows = eventtime.file_stream(spark, sf, schema, "events.parquet").withColumn("at", F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
+    rows = eventtime.without_repeats(rows, ["event_id"], "at", "2 days")
+    counted = eventtime.windowed(rows, "at", "6 hours", ["event_type"], {"events": F.count(F.lit(1)), "users": F.sum("user_id")})
+    eventtime.catch_up(counted, f"{path}/out", f"{path}/checkpoint")
+    out = eventtime.current(spark, f"{path}/out", ["window_start", "event_type"])
+    return out.select(F.to_utc_timestamp("window_start", F.current_timezone()).cast("timestamp_ntz").alias("window_start"), "event_type", "events", "users")
+
+
+@query("SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return eventtime.sessions(_t(spark, sf, "events"), ["user_id"], "ts", "12 hours").withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+# runs, dependencies and lineage from given tables: a day is a run, an event type a node; lineage is of real queries
+
+
+_RUN_METRICS = "(SELECT strftime(ts, '%Y-%m-%d') AS execution_id, event_type AS node_id, sum(event_id)::DOUBLE AS duration_ms, round(avg(user_id), 6) AS throughput, max(user_id)::BIGINT AS memory_peak_bytes, count(*) AS output_rows FROM events GROUP BY 1, 2)"
+
+
+def _run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    days = _t(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("execution_id"), F.col("event_type").alias("node_id"))
+    return days.agg(F.sum("event_id").cast("double").alias("duration_ms"), F.round(F.avg("user_id"), 6).alias("throughput"), F.max("user_id").alias("memory_peak_bytes"), F.count(F.lit(1)).alias("output_rows"))
+
+
+@query(f"SELECT execution_id, sum(duration_ms) AS total_duration, sum(output_rows)::BIGINT AS total_rows, round(avg(throughput), 4) AS avg_throughput, max(memory_peak_bytes) AS peak_memory FROM {_RUN_METRICS} GROUP BY execution_id")
+def perf_rollup_days(spark: SparkSession, sf: str) -> DataFrame:
+    return _money(runtime.rollup(_run_metrics(spark, sf)), avg_throughput=4)
+
+
+@query(f"SELECT execution_id, node_id, duration_ms, round(duration_ms / nullif(sum(duration_ms) OVER w, 0) * 100, 2) AS share_pct, round(duration_ms / nullif(max(duration_ms) OVER w, 0) * 100, 2) AS bar_pct FROM {_RUN_METRICS} WINDOW w AS (PARTITION BY execution_id)")
+def perf_shares_days(spark: SparkSession, sf: str) -> DataFrame:
+    return runtime.node_shares(_run_metrics(spark, sf))
+
+
+@query(f"SELECT node_id, b.duration_ms - a.duration_ms AS duration_ms_diff, b.output_rows - a.output_rows AS output_rows_diff FROM (SELECT * FROM {_RUN_METRICS} WHERE execution_id = '2024-01-02') a FULL JOIN (SELECT * FROM {_RUN_METRICS} WHERE execution_id = '2024-01-03') b USING (node_id)")
+def perf_compare_days(spark: SparkSession, sf: str) -> DataFrame:
+    return runtime.compare_runs(_run_metrics(spark, sf), "2024-01-02", "2024-01-03").select("node_id", "duration_ms_diff", "output_rows_diff")
+
+
+@query("SELECT pipeline_id FROM (SELECT user_id::VARCHAR AS pipeline_id, (user_id + d)::VARCHAR AS upstream_id FROM (SELECT DISTINCT user_id FROM events), (VALUES (1), (2)) AS v(d)) JOIN (SELECT user_id::VARCHAR AS upstream_id, arg_max(event_type, event_id) AS last FROM events GROUP BY user_id) u USING (upstream_id) GROUP BY pipeline_id HAVING bool_and(last <> 'error') AND count(*) = 2")
+def dep_ready_users(spark: SparkSession, sf: str) -> DataFrame:
+    """A user waits for the next two; a run is an event, and an error a failed one."""
+    events = _t(spark, sf, "events")
+    runs = events.select(F.col("user_id").cast("string").alias("pipeline_id"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.col("event_id").cast("double").alias("created_at"))
+    users = events.select("user_id").distinct()
+    deps = users.select(F.col("user_id").cast("string").alias("pipeline_id"), F.explode(F.array((F.col("user_id") + 1).cast("string"), (F.col("user_id") + 2).cast("string"))).alias("upstream_id"))
+    return workflow.ready_downstream(runs, deps)
+
+
+def _order_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineage records of orders: a column of a table for each customer and order, chained over three pipelines."""
+    step = F.array(F.struct(F.lit("rename").alias("type"), F.lit("m").alias("node"), F.lit("").alias("detail")))
+    orders = _t(spark, sf, "orders")
+    of = lambda pipeline, a, b, c, d: orders.select(F.lit(pipeline).alias("pipeline_id"), F.lit("r").alias("execution_id"), F.lit(a).alias("source_table"), b.alias("source_column"), F.lit(c).alias("target_table"), d.alias("target_column"), step.alias("transform_path"))
+    text = lambda c: F.col(c).cast("string")
+    return of("1", "orders", text("o_orderkey"), "customers", text("o_custkey")).unionByName(of("2", "customers", text("o_custkey"), "states", F.col("o_orderstatus")))
+
+
+@query("WITH l AS (SELECT 'orders.' || o_orderkey AS a, 'customers.' || o_custkey AS b FROM orders UNION ALL SELECT 'customers.' || o_custkey, 'states.' || o_orderstatus FROM orders) SELECT a AS source, 'step:m:rename' AS target, count(*) AS value FROM l GROUP BY a UNION ALL SELECT 'step:m:rename', b, count(*) FROM l GROUP BY b")
+def lineage_sankey_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.sankey(_order_records(spark, sf))[1]
+
+
+@query("SELECT DISTINCT 'customers' AS source_table, o_custkey::VARCHAR AS source_column, 1 AS depth, false AS is_root FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT DISTINCT 'orders', o_orderkey::VARCHAR, 2, true FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def lineage_reverse_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.trace_back(_order_records(spark, sf), "states", "F")
+
+
+@query("SELECT * FROM (VALUES ('n_name', 'nation', 'n_name'), ('revenue', 'lineitem', 'l_extendedprice'), ('revenue', 'lineitem', 'l_discount'), ('last', 'orders', 'o_orderdate')) AS t(column_name, source_table, source_column), (SELECT count(*) AS matches FROM nation WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey))")
+def lineage_of_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the columns of a query over four tables come from, and how many rows it has without nations that have no customer."""
+    text = "WITH o AS (SELECT o_orderkey AS k, o_custkey, o_orderdate FROM orders) SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue, max(o_orderdate) AS last FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN o ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = k GROUP BY n_name HAVING count(c_custkey) > 0"
+    df = readers.read(spark, "sql", {"query": text, "views": _views(sf, text)})
+    rows = [(c, t, x) for c, found in sql_lineage.column_origins(df).items() for t, x in sorted(found)]
+    return spark.createDataFrame(rows, "column_name string, source_table string, source_column string").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("matches"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from ..staging import staged
 from . import sql_lineage
 from .spec import Node, Pipeline, reachable
 
@@ -124,20 +125,24 @@ def trace_back(records: DataFrame, table: str, column: str) -> DataFrame:
     """(source_table, source_column, depth, is_root): all columns that a target column comes from, over any number of pipelines
     and steps, each once at its least depth. roots: no origin.
 
-    A search by breadth: each round joins the columns found last with the records; only columns not seen before go on.
+    A search by breadth: each round joins the columns found last with the records; only columns not seen before go on. All of it
+    stays in tables, so that neither a level nor the answer has to fit the driver.
     """
-    spark = records.sparkSession
-    edges = records.select("source_table", "source_column", "target_table", "target_column").distinct()
-    depth_of, with_origin, last = {(table, column): 0}, set(), [(table, column)]
-    while last:
-        ask = spark.createDataFrame(last, "target_table string, target_column string")
-        found = edges.join(ask, ["target_table", "target_column"]).collect()
-        with_origin |= {(r.target_table, r.target_column) for r in found}
-        depth = depth_of[last[0]] + 1
-        last = sorted({(r.source_table, r.source_column) for r in found} - depth_of.keys())
-        depth_of |= dict.fromkeys(last, depth)
-    rows = [(t, c, d, (t, c) not in with_origin) for (t, c), d in depth_of.items() if d]
-    return spark.createDataFrame(rows, "source_table string, source_column string, depth int, is_root boolean")
+    spark, key = records.sparkSession, ["t", "c"]
+    edges = staged(records.select(F.col("source_table").alias("t"), F.col("source_column").alias("c"), F.col("target_table").alias("to_t"), F.col("target_column").alias("to_c")).distinct(), "edges")
+    last = spark.createDataFrame([(table, column)], "t string, c string")
+    seen, depth = last.withColumn("depth", F.lit(0)), 0
+    while True:
+        depth += 1
+        at = last.select(F.col("t").alias("to_t"), F.col("c").alias("to_c"))
+        found = edges.join(at, ["to_t", "to_c"]).select(*key).distinct().join(seen.select(*key), key, "left_anti")
+        last = staged(found.withColumn("depth", F.lit(depth)), "found")
+        if last.isEmpty():
+            break
+        seen = seen.unionByName(last)
+    reached = edges.select(F.col("to_t").alias("t"), F.col("to_c").alias("c"), F.lit(False).alias("leaf")).distinct()
+    out = seen.where("depth > 0").join(reached, key, "left")
+    return out.select(F.col("t").alias("source_table"), F.col("c").alias("source_column"), "depth", F.coalesce("leaf", F.lit(True)).alias("is_root"))
 
 
 def highlight(links: list[tuple[str, str]], node: str) -> set[str]:
