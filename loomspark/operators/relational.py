@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..naming import fresh
+from ..staging import shared_path
 
 
 class ConfigError(ValueError):
@@ -75,6 +76,8 @@ def _aggregate(df: DataFrame, spec: dict, order: str | None) -> Column:
         return (F.min_by(c, some) if function == "first" else F.max_by(c, some)).alias(alias)
     if function not in AGGREGATES:
         raise ConfigError(f"unknown aggregate {function!r}")
+    if function == "quantile" and spec.get("q") is not None:
+        return F.percentile(c, float(spec["q"])).alias(alias)
     return AGGREGATES[function](c).alias(alias)
 
 
@@ -84,13 +87,19 @@ def _resolve(df: DataFrame, name: str) -> str:
 
 
 def aggregate(df: DataFrame, config: dict) -> DataFrame:
-    """Groups without missing keys, one column for each aggregation; without keys or aggregations the input as it is."""
+    """Groups without missing keys, one column for each aggregation; without keys or aggregations the input as it is.
+
+    `large_groups`: median and quantile (with a `q` from 0 to 1, else the middle) are found by ranks over ranges instead of in a
+    buffer a group, which is for groups of more distinct values than a task holds.
+    """
     keys, specs = config.get("group_by") or [], config.get("aggregations") or []
     if not keys or not specs:
         return df
     found = [_resolve(df, k) for k in keys]
     _need(df, [*found, *[_resolve(df, s["column"]) for s in specs]], "aggregate")
     order = config.get("order_by")
+    if config.get("large_groups"):
+        return _with_ranks(df, config, found, keys, specs)
     ordered = any(s["function"] in ("first", "last") for s in specs) and not order
     if ordered:  # the rows' order as scanned, fixed before the shuffle
         order = fresh("_ord", df)
@@ -100,6 +109,22 @@ def aggregate(df: DataFrame, config: dict) -> DataFrame:
     return out.agg(*[_aggregate(rows, s, order) for s in specs])
 
 
+def _with_ranks(df: DataFrame, config: dict, found: list[str], keys: Sequence[str], specs: Sequence[dict]) -> DataFrame:
+    from .quantiles import quantiles  # which needs this module
+
+    ranked = [s for s in specs if s["function"] in ("median", "quantile")]
+    name = lambda s: s.get("alias") or f"{s['column']}_{s['function']}"
+    rows = df.filter(reduce(lambda a, b: a & b, [col(k).isNotNull() for k in found]))
+    wanted = {name(s): (_resolve(df, s["column"]), float(s.get("q", 0.5)) if s["function"] == "quantile" else 0.5) for s in ranked}
+    out = quantiles(rows, found, wanted)
+    out = out.select(*[col(k).alias(n) for k, n in zip(found, keys, strict=True)], *[col(a) for a in wanted])
+    others = [s for s in specs if s not in ranked]
+    if others:
+        rest = aggregate(df, {**config, "aggregations": others, "large_groups": False})
+        out = out.alias("q").join(rest.alias("r"), reduce(lambda a, b: a & b, [F.col(f"q.`{k}`") == F.col(f"r.`{k}`") for k in keys])).select("q.*", *[F.col(f"r.`{name(s)}`") for s in others])
+    return out.select(*[col(k) for k in keys], *[col(name(s)) for s in specs])
+
+
 def sort_rows(df: DataFrame, config: dict) -> DataFrame:
     """By several columns, each up or down; missing values come last either way."""
     by = config.get("sort_by") or []
@@ -188,9 +213,13 @@ def join_all(frames: Sequence[DataFrame], config: dict) -> DataFrame:
     return join(frames[0], frames[1], config)
 
 
-def branch(df: DataFrame, config: dict) -> dict[str, DataFrame]:
+def branch(df: DataFrame, config: dict, stage: bool = False) -> dict[str, DataFrame]:
     """`branch_0`, `branch_1`, ...: each row goes to the first branch whose condition it meets; an empty condition in last
-    place takes the rest, and without one the rest is left out."""
+    place takes the rest, and without one the rest is left out.
+
+    Lazy branches each compute the input anew. With `stage` it is computed once: rows are written to the shared folder by branch,
+    and each branch reads its part alone.
+    """
     branches = config.get("branches") or []
     if not branches:
         return {"branch_0": df}
@@ -206,6 +235,11 @@ def branch(df: DataFrame, config: dict) -> dict[str, DataFrame]:
         route = F.when(test, i) if route is None else route.when(test, i)
     way = fresh("_branch", df)
     routed = df.withColumn(way, route)
+    if stage:
+        path = shared_path(df.sparkSession, "branches")
+        routed.where(col(way).isNotNull()).write.partitionBy(way).parquet(path)
+        routed = df.sparkSession.read.schema(routed.schema).parquet(path)
+        return {f"branch_{i}": routed.filter(col(way) == i).select(*[col(c) for c in df.columns]) for i in range(len(branches))}
     return {f"branch_{i}": routed.filter(col(way) == i).drop(way) for i in range(len(branches))}
 
 

@@ -7,7 +7,6 @@ consumers (persisted), and nodes that checkpoint. Row counts come from Observati
 from __future__ import annotations
 
 import json
-import os
 import time
 import traceback
 from collections import Counter
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality, relational
 from ..sources import readers, writers
+from ..staging import children
 from ..streaming import incremental
 from . import lineage, pushdown
 from .spec import Node, Pipeline
@@ -88,7 +88,7 @@ def _input(pipeline: Pipeline, edge, out: dict[str, DataFrame]) -> DataFrame:  #
     return out[edge.source]
 
 
-def _node_frames(spark: SparkSession, pipeline: Pipeline, node: Node, out: dict[str, DataFrame], given: DataFrame | None = None) -> dict[str, DataFrame]:
+def _node_frames(spark: SparkSession, pipeline: Pipeline, node: Node, out: dict[str, DataFrame], given: DataFrame | None = None, stage: bool = False) -> dict[str, DataFrame]:
     inputs = [_input(pipeline, e, out) for e in pipeline.inputs(node.id)] if given is None else [given]
     if node.type == "source":
         c = node.config
@@ -97,7 +97,7 @@ def _node_frames(spark: SparkSession, pipeline: Pipeline, node: Node, out: dict[
     if node.type == "join":
         return {node.id: relational.join_all(inputs, node.config)}
     if node.type == "branch":
-        return {f"{node.id}.{k}": v for k, v in relational.branch(inputs[0], node.config).items()} | {node.id: inputs[0]}
+        return {f"{node.id}.{k}": v for k, v in relational.branch(inputs[0], node.config, stage).items()} | {node.id: inputs[0]}
     return {node.id: relational.UNARY[node.type](inputs[0], node.config)}
 
 
@@ -130,7 +130,9 @@ class Executor:
                     if node.type == "output":
                         self._output(run, node, out, watches, held)
                     else:
-                        made = _node_frames(self.spark, self.pipeline, node, out)
+                        # Each branch that is used is an action of its own: what leads to them runs once, as it is written.
+                        several = len([e for e in self.pipeline.edges if e.source == key]) > 1 and not self.checkpoint_dir
+                        made = _node_frames(self.spark, self.pipeline, node, out, stage=several)
                         if node.type == "source":
                             made[key] = self._incremental(node, made[key], commits)
                         if node.type != "branch":
@@ -223,10 +225,8 @@ class Executor:
     def _saved(self, run: Run, key: str) -> dict[str, str]:
         """Checkpoints of a node that were completed."""
         folder = f"{self.checkpoint_dir}/{run.id}"
-        if not os.path.isdir(folder):
-            return {}
-        names = [n for n in os.listdir(folder) if n == key or n.startswith(f"{key}.")]
-        return {n: f"{folder}/{n}" for n in names if os.path.exists(f"{folder}/{n}/_SUCCESS")}
+        names = [n for n in children(self.spark, folder) if n == key or n.startswith(f"{key}.")]
+        return {n: f"{folder}/{n}" for n in names if "_SUCCESS" in children(self.spark, f"{folder}/{n}")}
 
     def _count(self, run: Run, watches: dict[str, Observation]) -> None:
         """Rows of each node, from what the actions observed; a node that no action reached has no count."""

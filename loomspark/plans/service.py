@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.quality import Rule
 from ..sources import readers, sqlite
-from ..streaming.incremental import MarkStore
+from ..streaming.incremental import MODES, ChangeFeed, MarkStore
 from . import lineage, runtime, templates, workflow
 from .spec import Pipeline, Workflow
 from .store import NotFoundError, Store
@@ -181,3 +181,61 @@ class Service:
 
     def watermarks(self) -> dict[str, dict]:
         return self.marks.all()
+
+    def watermark(self, source: object) -> dict:
+        found = self.marks.get(source)
+        if found is None:
+            raise NotFoundError(f"watermarks: {source}")
+        return found
+
+    def create_watermark(self, source: object, kind: str, value: dict) -> dict:
+        """A mark to begin with: what lies before it counts as loaded."""
+        if kind not in MODES or MODES[kind][0] not in value:
+            raise ValueError(f"a watermark of kind {kind!r} needs {MODES.get(kind, ('a known kind',))[0]}")
+        if self.marks.get(source) is not None:
+            raise ValueError(f"there is a watermark of {source} already")
+        return self.marks.put(source, kind, value)
+
+    def update_watermark(self, source: object, value: dict) -> dict:
+        """Moves a mark, back too, so that rows can be loaded again."""
+        kind = self.watermark(source)["watermark_type"]
+        if kind in MODES and MODES[kind][0] not in value:
+            raise ValueError(f"a watermark of kind {kind!r} needs {MODES[kind][0]}")
+        return self.marks.put(source, kind, value)
+
+    def delete_watermark(self, source: object) -> None:
+        self.watermark(source)
+        self.marks.clear(source)
+
+    # changes that are followed
+
+    def enable_changes(self, source: object, table: str) -> bool:
+        return ChangeFeed(self.marks, source).enable(table)
+
+    def disable_changes(self, source: object, table: str) -> None:
+        ChangeFeed(self.marks, source).disable(table)
+
+    def take_changes(self, source: object, table: str, sink, log: DataFrame | None = None) -> int:  # noqa: ANN001
+        """Hands the changes not taken over yet to `sink` and moves on once it is done; the log's last id that was taken."""
+        rows_, commit = ChangeFeed(self.marks, source).changes(self.store.records("change_logs") if log is None else log, table)
+        sink(rows_)
+        return commit()
+
+    # single records
+
+    def _record(self, kind: str, key: str) -> dict:
+        found = rows(self.store.records(kind).filter(F.col("id") == key).orderBy(F.col("created_at").desc()).limit(1))
+        if not found:
+            raise NotFoundError(f"{kind}: {key}")
+        return found[0]
+
+    def quality_report(self, key: str) -> dict:
+        found = self._record("quality_reports", key)
+        return found | {"violation_samples": json.loads(found["violation_samples"])}
+
+    def workflow_execution(self, key: str) -> dict:
+        found = self._record("workflow_executions", key)
+        return found | {"node_states": json.loads(found["node_states"])}
+
+    def lineage_records(self, skip: int = 0, limit: int = 100, pipeline_id: object = None, execution_id: str | None = None) -> list[dict]:
+        return rows(self.store.page("lineage_records", skip, limit, "target_column", pipeline_id=None if pipeline_id is None else str(pipeline_id), execution_id=execution_id))

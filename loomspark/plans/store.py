@@ -17,6 +17,7 @@ RECORDS = {
     "quarantine_records": "execution_id string, node_id string, rule_id long, record_data string, violation_reason string, created_at double",
     "performance_metrics": "execution_id string, node_id string, start_time double, end_time double, duration_ms double, input_rows long, output_rows long, throughput double, memory_peak_bytes long, created_at double",
     "lineage_records": "pipeline_id string, execution_id string, source_table string, source_column string, target_table string, target_column string, transform_path array<struct<type:string,node:string,detail:string>>",
+    "change_logs": "id long, table_name string, operation_type string, record_id string, record_data string, before_data string",
     "workflow_executions": "id string, workflow_id string, status string, start_time double, end_time double, node_states string, error_log string, created_at double",
 }
 

@@ -54,6 +54,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark knows; none if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(p)) if files.exists(p) else []
+
+
 def unstage(*frames: DataFrame | None) -> None:
     """Deletes what staged() wrote, once nothing reads it any more."""
     for df in frames:
