@@ -792,3 +792,18 @@ def lineage_of_sql(spark: SparkSession, sf: str) -> DataFrame:
     df = readers.read(spark, "sql", {"query": text, "views": _views(sf, text)})
     rows = [(c, t, x) for c, found in sql_lineage.column_origins(df).items() for t, x in sorted(found)]
     return spark.createDataFrame(rows, "column_name string, source_table string, source_column string").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("matches"))))
+
+
+# SQLite's functions in Spark SQL
+
+
+@query("SELECT event_id, strftime(ts, '%Y/%m/%d %H h') AS hour, last_day(ts)::VARCHAR AS month_end, round(epoch_us(ts) / 86400000000.0 + 2440587.5, 5) AS julian, json_extract_string(props, '$.k') AS k, event_type GLOB 'c*[k]' AS is_click, strftime(ts + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS later FROM events")
+def sql_sqlite_functions(spark: SparkSession, sf: str) -> DataFrame:
+    text = "SELECT event_id, strftime('%Y/%m/%d %H h', t) AS hour, sqlite_date(t, 'start of month', '+1 month', '-1 day') AS month_end, round(julianday(t), 5) AS julian, json_extract(props, '$.k') AS k, glob('c*[k]', event_type) AS is_click, sqlite_datetime(t, '+1.5 days') AS later FROM (SELECT *, cast(ts AS STRING) AS t FROM events)"
+    return readers.read(spark, "sql", {"query": text, "views": _views(sf, text), "dialect": "sqlite"})
+
+
+@query("SELECT key, count(*) AS n, sum(value::BIGINT)::BIGINT AS total FROM (SELECT unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT json_extract_string(props, '$.' || key) AS value) GROUP BY key")
+def sql_sqlite_json_each(spark: SparkSession, sf: str) -> DataFrame:
+    text = "SELECT e.key, count(*) AS n, sum(cast(e.value AS BIGINT)) AS total FROM events, LATERAL json_each(props) e GROUP BY e.key"
+    return readers.read(spark, "sql", {"query": text, "views": _views(sf, text), "dialect": "sqlite"})

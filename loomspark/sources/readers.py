@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import sqlite_sql
 from ..staging import shared_path
 from . import http, sqlite
 
@@ -75,7 +76,10 @@ def read_json(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def read_sql(spark: SparkSession, config: dict) -> DataFrame:
-    """A query over the session's tables and views; `views` maps further names to source configurations."""
+    """A query over the session's tables and views; `views` maps further names to source configurations. `dialect` sqlite brings that
+    engine's functions (functions/sqlite_sql.py)."""
+    if config.get("dialect") == "sqlite":
+        sqlite_sql.register(spark)
     for name, source in (config.get("views") or {}).items():
         read(spark, source["type"], source["config"]).createOrReplaceTempView(name)
     return spark.sql(config["query"])
