@@ -51,11 +51,17 @@ def test_texts_are_encoded_alike_one_by_one_and_together(monkeypatch):
 def test_word_keys_do_not_depend_on_the_piece():
     text = b"some words, and some\tmore \x0b" * 30 + b"x" * 500 + b" end"
     words = text.split()
-    for most in (1 << 16, 64):
-        keys = hashed.word_keys(text, hashed.Spans(most)).tolist()
-        assert len(keys) == len(words) and len(set(keys)) == len(set(words)) == len(set(zip(words, keys, strict=True)))
-    assert len(hashed.word_keys(b"", hashed.Spans(64))) == 0
-    assert (hashed.word_keys(text[:600], hashed.Spans(64)) == hashed.word_keys(text[:600], hashed.Spans(1 << 16))).all()
+    far = b"y z\n" * 40_000 + text  # words are taken some 64 KB at a time
+
+    def keys(data):
+        x = np.frombuffer(data, np.uint8)
+        return hashed.WordKeys().keys(x, *hashed.word_edges(x))[0]
+
+    for data in (text, far):
+        own, got = data.split(), keys(data).tolist()
+        assert len(got) == len(own) and len(set(got)) == len(set(own)) == len(set(zip(own, got, strict=True)))
+    assert len(keys(b"")) == 0
+    assert (keys(far)[-len(words) :] == keys(text)).all() and (keys(text[:600])[:-1] == keys(text)[: len(text[:600].split()) - 1]).all()
 
 
 def test_map_and_runs_against_a_dict():
