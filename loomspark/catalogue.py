@@ -8,6 +8,7 @@ queries that need some make them from the data.
 from __future__ import annotations
 
 import os
+import re
 import sqlite3
 import tempfile
 from collections.abc import Callable
@@ -98,14 +99,19 @@ for _name, _text in _SQL.items():
     QUERIES[_name], ORACLES[_name] = _run, _text
 
 
-def _scratch() -> str:
-    """A driver-local folder for SQLite files, which are read and written through the driver's host."""
-    return tempfile.mkdtemp(prefix="loomspark-")
+def _scratch(spark: SparkSession) -> str:
+    """A folder for files that SQLite opens by path: in the shared folder where that is a mounted one, else (its store has no paths) the
+    driver's own."""
+    path = re.sub("^file:/*", "/", shared_path(spark, "scratch"))
+    if ":" in path:
+        return tempfile.mkdtemp(prefix="loomspark-")
+    os.makedirs(path, exist_ok=True)
+    return path
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def sink_sqlite_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    db = os.path.join(_scratch(), "x.db")
+    db = os.path.join(_scratch(spark), "x.db")
     writers.write(_t(spark, sf, "nation"), "sqlite", {"db_path": db, "table_name": "nation", "write_mode": "replace"})
     back = readers.read(spark, "sqlite", {"db_path": db, "table_name": "nation"})
     return back.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"))
@@ -113,7 +119,7 @@ def sink_sqlite_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY n_regionkey")
 def source_sqlite_query(spark: SparkSession, sf: str) -> DataFrame:
-    db = os.path.join(_scratch(), "x.db")
+    db = os.path.join(_scratch(spark), "x.db")
     writers.write(_t(spark, sf, "nation"), "sqlite", {"db_path": db, "table_name": "nation", "write_mode": "replace"})
     back = readers.read(spark, "sqlite", {"db_path": db, "query": "SELECT n_regionkey, count(*) AS nations FROM nation GROUP BY n_regionkey"})
     return back.select(F.col("n_regionkey").cast("int").alias("n_regionkey"), "nations")
@@ -121,7 +127,7 @@ def source_sqlite_query(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
 def sink_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    done = writers.write(_t(spark, sf, "nation"), "csv", {"export_dir": _scratch(), "filename": "nation.csv"})
+    done = writers.write(_t(spark, sf, "nation"), "csv", {"export_dir": _scratch(spark), "filename": "nation.csv"})
     return readers.read(spark, "csv", {"file_path": done.path})
 
 
@@ -508,7 +514,7 @@ def workflow_downstream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT * FROM (VALUES ('North', 300.0::DOUBLE, 2::BIGINT, 150.0::DOUBLE), ('South', 50.0::DOUBLE, 1::BIGINT, 50.0::DOUBLE)) AS t(region, total_amount, order_count, avg_amount)")
 def template_multi_table_join(spark: SparkSession, sf: str) -> DataFrame:
-    db = os.path.join(_scratch(), "sales.db")
+    db = os.path.join(_scratch(spark), "sales.db")
     with sqlite3.connect(db) as c:
         c.execute("CREATE TABLE customers (id INTEGER PRIMARY KEY, name TEXT, region TEXT)")
         c.execute("CREATE TABLE orders (id INTEGER PRIMARY KEY, customer_id INTEGER, amount REAL)")
@@ -807,3 +813,15 @@ def sql_sqlite_functions(spark: SparkSession, sf: str) -> DataFrame:
 def sql_sqlite_json_each(spark: SparkSession, sf: str) -> DataFrame:
     text = "SELECT e.key, count(*) AS n, sum(cast(e.value AS BIGINT)) AS total FROM events, LATERAL json_each(props) e GROUP BY e.key"
     return readers.read(spark, "sql", {"query": text, "views": _views(sf, text), "dialect": "sqlite"})
+
+
+@query("SELECT n_name AS region, round(sum(o_totalprice), 2) AS total_sales, count(o_orderkey) AS order_count, round(avg(o_totalprice), 4) AS avg_order_value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def template_multi_table_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The join template over all orders and customers, put into SQLite first."""
+    db = os.path.join(_scratch(spark), "sales.db")
+    customers = relational.join(_t(spark, sf, "customer"), _t(spark, sf, "nation"), {"left_key": "c_nationkey", "right_key": "n_nationkey"}).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("region"))
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("amount"))
+    for name, df in (("customers", customers), ("orders", orders)):
+        writers.write(df, "sqlite", {"db_path": db, "table_name": name, "write_mode": "replace", "batch_size": 5000, "error_strategy": "abort"})
+    spec = templates.multi_table_join(db, aliases=("total_sales", "order_count", "avg_order_value"))
+    return _money(runtime.build(spark, spec)["largest"], total_sales=2, avg_order_value=4)

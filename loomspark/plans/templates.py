@@ -25,8 +25,9 @@ def csv_cleaning(file_path: str = "customers.csv", db_path: str = "cleaned.db",
     }
 
 
-def multi_table_join(db_path: str = "sales.db", filename: str = "sales_by_region.csv", export_dir: str = "exports") -> dict:
-    """Orders and customers joined, summed by region, largest first, to CSV."""
+def multi_table_join(db_path: str = "sales.db", filename: str = "sales_by_region.csv", export_dir: str = "exports", aliases: tuple[str, str, str] = ("total_amount", "order_count", "avg_amount")) -> dict:
+    """Orders and customers joined, summed by region, largest first, to CSV. aliases: what the sum, the count and the mean are called."""
+    total, count, mean = aliases
     return {
         "nodes": [
             _node("orders", "source", "Orders", source_type="sqlite", source_config={"db_path": db_path, "table_name": "orders"}),
@@ -34,9 +35,9 @@ def multi_table_join(db_path: str = "sales.db", filename: str = "sales_by_region
             _node("both", "join", "Orders with customers", join_type="inner", left_key="customer_id", right_key="id"),
             _node(
                 "by_region", "aggregate", "By region", group_by=["region"],
-                aggregations=[{"column": "amount", "function": "sum", "alias": "total_amount"}, {"column": "id", "function": "count", "alias": "order_count"}, {"column": "amount", "function": "avg", "alias": "avg_amount"}],
+                aggregations=[{"column": "amount", "function": "sum", "alias": total}, {"column": "id", "function": "count", "alias": count}, {"column": "amount", "function": "avg", "alias": mean}],
             ),
-            _node("largest", "sort", "Largest first", sort_by=[{"column": "total_amount", "ascending": False}]),
+            _node("largest", "sort", "Largest first", sort_by=[{"column": total, "ascending": False}]),
             _node("write", "output", "Regions", output_type="csv", output_config={"filename": filename, "export_dir": export_dir}),
         ],
         "edges": [{"source": "orders", "target": "both"}, {"source": "customers", "target": "both", "targetHandle": "join_right"}, *_chain("both", "by_region", "largest", "write")],
