@@ -89,5 +89,5 @@ def test_comparing_all_loses_no_link(spark):
         for _ in range(rnd.randrange(3)):
             own[rnd.randrange(120)] = word()
         rows.append((len(rows), " ".join(own)))
-    got = [r.doc_id for r in jaccard.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), compare_all=True).collect()]
+    got = [r.doc_id for r in jaccard.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=repr) == kept_by_hand(rows)
