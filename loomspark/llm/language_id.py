@@ -3,8 +3,9 @@
 A text's subwords are its lower-cased byte n-grams, spaces included, hashed into buckets; the text's vector is the mean of
 their embeddings, and a softmax layer over it gives the language. Both are trained by stochastic gradient descent in numpy
 on a bounded sample of labelled documents (TRAIN_ROWS in all, shared evenly among languages; the sample is by a hash of the
-id, so it is the same in each run). A part of the sample is kept from training to fit the softmax temperature; the score below
-which a prediction is rejected is a quantile of that part and of up to REJECT_ROWS more documents, none of them trained on.
+id, so it is the same in each run). A part of the sample is kept from training to fit the softmax temperature. Snippets of SNIPPETS
+characters cut from that part have temperatures of their own, since few subwords say little however far the scores are apart: a
+text's temperature goes by its number of subwords, between those of the snippets and that of whole texts. The score below which a prediction is rejected is a quantile of that part and of up to REJECT_ROWS more documents, none of them trained on.
 Documents are scored in Arrow batches where they lie; nothing is shuffled.
 
 Defined cases: a text that is null or has no letter is `und` with score 0 and rejected; with no labelled row at all every
@@ -14,6 +15,7 @@ pass through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +36,11 @@ REJECT_ROWS = 20_000
 EPOCHS, RATE, BATCH = 12, 40.0, 32
 #: Of the calibration documents, so many may fall below the rejection score, which never exceeds REJECT_MOST.
 REJECT_SHARE, REJECT_MOST = 0.001, 0.5
+#: Lengths, in characters, of the snippets of calibration documents that give short texts their temperatures.
+SNIPPETS = (1, 2, 4, 8, 16, 32, 64)
+_GRID = tuple(2.0**e for e in np.arange(-4, 3.25, 0.25))
+#: Short texts may need far more.
+_SHORT_GRID = tuple(2.0**e for e in np.arange(-4, 10.25, 0.25))
 _LETTER = regex.compile(r"\p{L}")
 _PIECE = 1 << 20
 
@@ -56,17 +63,27 @@ def subwords(text: str) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, the product of embeddings and softmax weights (BUCKETS x languages), bias, temperature, rejection score."""
+    """Languages, the product of embeddings and softmax weights (BUCKETS x languages), bias, temperature, rejection score; for
+    short texts, pairs of a number of subwords and a temperature, by rising number."""
 
     langs: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
+    short: tuple[tuple[float, float], ...] = ()
+
+    def heat(self, sizes: np.ndarray) -> np.ndarray:
+        """The temperature of texts of so many subwords, by straight lines between logarithms."""
+        if not self.short:
+            return np.full(len(sizes), self.temperature)
+        at, heats = zip(*self.short, (2 * self.short[-1][0], self.temperature), strict=True)
+        return np.exp(np.interp(np.log(np.maximum(sizes, 1)), np.log(at), np.log(heats)))
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        mean = (counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        z = (mean @ self.weights + self.bias) / self.temperature
+        sizes = counts.sum(axis=1, keepdims=True)
+        mean = (counts / np.maximum(sizes, 1e-9)).astype(np.float32)
+        z = (mean @ self.weights + self.bias) / self.heat(sizes[:, 0])[:, None]
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -101,6 +118,24 @@ def reject_score(best: np.ndarray) -> float:
     return float(min(REJECT_MOST, best[int(REJECT_SHARE * len(best))]))
 
 
+def likeliest(logits: np.ndarray, y: np.ndarray, grid: tuple[float, ...]) -> float:
+    """The temperature of the grid under which the true languages y are likeliest."""
+
+    def loss(t: float) -> float:
+        e = np.exp((logits - logits.max(axis=1, keepdims=True)) / t)
+        return float(-np.log(np.maximum(e[np.arange(len(y)), y] / e.sum(axis=1), 1e-12)).mean())
+
+    return min(grid, key=loss)
+
+
+def snippets(text: str) -> list[tuple[int, str]]:
+    """(length, snippet) for each of the lengths that the text is longer than, from a place that goes by its hash; those without a
+    letter are left out."""
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    out = [(n, text[lo : lo + n]) for n in SNIPPETS if len(text) > n for lo in (at % (len(text) - n),)]
+    return [(n, t) for n, t in out if _LETTER.search(t)]
+
+
 def train(names: list[str], x: Shares, held: np.ndarray, seed: int = 7) -> Model:
     """names: the documents' languages; x: their shares of each bucket; held: which are for calibration."""
     langs = sorted(set(names))
@@ -131,16 +166,23 @@ def train(names: list[str], x: Shares, held: np.ndarray, seed: int = 7) -> Model
     test = np.flatnonzero(held) if held.any() else own
     logits = np.concatenate([x[some] @ model.weights + model.bias for some in np.array_split(test, max(1, len(test) // 256))])
 
-    def softmax(t: float) -> np.ndarray:
-        e = np.exp((logits - logits.max(axis=1, keepdims=True)) / t)
-        return e / e.sum(axis=1, keepdims=True)
+    model.temperature = likeliest(logits, y[test], _GRID)
+    e = np.exp((logits - logits.max(axis=1, keepdims=True)) / model.temperature)
+    model.reject_below = reject_score((e / e.sum(axis=1, keepdims=True)).max(axis=1))
+    return model
 
-    def loss(t: float) -> float:
-        return float(-np.log(np.maximum(softmax(t)[np.arange(len(test)), y[test]], 1e-12)).mean())
 
-    model.temperature = min((2.0**e for e in np.arange(-4, 3.25, 0.25)), key=loss)
-    model.reject_below = reject_score(softmax(model.temperature).max(axis=1))
-    return model
+def heated(model: Model, lengths: np.ndarray, names: list[str], x: Shares) -> tuple[tuple[float, float], ...]:
+    """Model.short from snippets of so many characters, their languages and shares. Shorter ones never have a lower temperature."""
+    out, y = [], np.array([model.langs.index(n) if n in model.langs else -1 for n in names])
+    for n in sorted(set(lengths.tolist()), reverse=True):
+        some = np.flatnonzero((lengths == n) & (y >= 0))
+        if len(some):
+            logits = np.concatenate([x[part] @ model.weights + model.bias for part in np.array_split(some, max(1, len(some) // 256))])
+            size = float(np.median([x.rows[k][1].sum() for k in some]))
+            if not out or size < out[-1][0]:
+                out.append((size, max(likeliest(logits, y[some], _SHORT_GRID), out[-1][1] if out else model.temperature)))
+    return tuple(reversed(out))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -162,16 +204,21 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text, cal in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = subwords(text)
-                nz = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([cal]), pa.array([nz.astype("<u2").tobytes()], pa.binary()), pa.array([counts[nz].astype("<u4").tobytes()], pa.binary())], names=["lang", "cal", "at", "n"])
+                for length, piece in [(0, text), *(snippets(text) if cal else ())]:
+                    counts = subwords(piece)
+                    nz = np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([cal]), pa.array([length], pa.int32()), pa.array([nz.astype("<u2").tobytes()], pa.binary()), pa.array([counts[nz].astype("<u4").tobytes()], pa.binary())], names=["lang", "cal", "length", "at", "n"])
 
-    got = some.select("lang", "text", cal.alias("cal")).mapInArrow(run, "lang string, cal boolean, at binary, n binary").collect()
+    got = some.select("lang", "text", cal.alias("cal")).mapInArrow(run, "lang string, cal boolean, length int, at binary, n binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.at), bytes(r.n)))
-    x = Shares([(np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<u4")) for r in got])
-    names, held = [r.lang for r in got], np.array([r.cal for r in got], bool)
-    model = train(names, x, held)
-    del got, x  # tens of MB of the driver
+
+    def shares(rows: list) -> Shares:
+        return Shares([(np.frombuffer(r.at, "<u2"), np.frombuffer(r.n, "<u4")) for r in rows])
+
+    whole, cut = [r for r in got if not r.length], [r for r in got if r.length]
+    model = train([r.lang for r in whole], shares(whole), np.array([r.cal for r in whole], bool))
+    model.short = heated(model, np.array([r.length for r in cut], int), [r.lang for r in cut], shares(cut))
+    del got, whole, cut  # tens of MB of the driver
     more = F.create_map(*[v for lang, n in sizes.items() for v in (F.lit(lang), F.lit(REJECT_ROWS / len(sizes) / n))])[F.col("lang")] * (1 << 20)
     unseen = named.where((draw >= bound) & (draw < bound + more) | (draw < bound) & cal)
     best = np.array([r.score for r in identify(unseen.select("text"), model).where("lang_pred <> 'und'").select("score").collect()])

@@ -31,6 +31,46 @@ def test_the_rejection_quantile_exists(spark):
     assert language_id.TRAIN_ROWS >= 4000 and (model.reject_below == language_id.REJECT_MOST or below > 0)
 
 
+def test_few_letters_are_less_sure_than_a_page(spark):
+    model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    heats = [t for _, t in model.short]
+    assert len(heats) >= 5 and heats == sorted(heats, reverse=True) and heats[-1] >= model.temperature
+    lang, score, rejected = model.predict(["a", "e", "The house that we saw is old, and the people who live there have been good to us. " * 4])
+    assert max(score[:2]) < 0.5 and rejected[:2] == [True, True] and lang[2] == "en" and score[2] > 0.9 and not rejected[2]
+
+
+def test_temperatures_of_short_texts_by_hand():
+    """The likeliest of the grid for each length, never below that of longer texts; between the sizes, straight lines of logarithms."""
+    pieces = [("ab", 2, "x"), ("ba", 2, "y"), ("ab", 2, "y"), ("abcdabcd", 8, "x"), ("dcbadcba", 8, "y"), ("zzzzzzzz", 8, "none")]
+    counts = [language_id.subwords(t) for t, _, _ in pieces]
+    weights = [[math.sin(b), math.cos(3 * b)] for b in range(language_id.BUCKETS)]
+    model = language_id.Model(["x", "y"], language_id.np.array(weights, "f4"), language_id.np.zeros(2, "f4"), 0.5, 0.0)
+    rows = [(c.nonzero()[0], c[c.nonzero()[0]]) for c in counts]
+    model.short = language_id.heated(model, language_id.np.array([n for _, n, _ in pieces]), [y for _, _, y in pieces], language_id.Shares(rows))
+
+    def loss(t, length):
+        total = 0
+        for (_, n, y), c in zip(pieces, counts, strict=True):
+            if n == length and y != "none":
+                z = [sum(int(c[b]) * weights[b][k] for b in c.nonzero()[0]) / int(c.sum()) / t for k in (0, 1)]
+                total += math.log(sum(map(math.exp, z))) - z["xy".index(y)]
+        return total
+
+    grid = [2.0 ** (e / 4) for e in range(-16, 41)]
+    long = max(0.5, min(grid, key=lambda t: loss(t, 8)))
+    assert model.short == ((3.0, max(long, min(grid, key=lambda t: loss(t, 2)))), (26.0, long))
+    (a, s), (b, t) = model.short
+    assert math.isclose(model.heat([1])[0], s) and math.isclose(model.heat([5000])[0], 0.5)
+    assert math.isclose(model.heat([9])[0], math.exp(math.log(s) + (math.log(t) - math.log(s)) * math.log(9 / a) / math.log(b / a)))
+
+
+def test_snippets_are_parts_of_the_text_with_a_letter():
+    text = "Straße 12, Bücher und 日本語 " * 9
+    got = language_id.snippets(text)
+    assert [n for n, _ in got if n > 8] == [16, 32, 64] and all(len(t) == n and t in text for n, t in got)
+    assert language_id.snippets("12 345") == language_id.snippets("") == [] and got == language_id.snippets(text)
+
+
 def test_language_of_odd_documents(spark):
     df = odd(spark)
     got = language_id.identify(df, language_id.fit(df)).collect()
