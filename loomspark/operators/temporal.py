@@ -97,34 +97,75 @@ def as_of(left: DataFrame, right: DataFrame, on: str, keys: Sequence[str] = (),
     return out.select(*[col(c).alias(f"{c}_left" if c in both else c) for c in left.columns], *[F.col(row).getField(c).alias(f"{c}_right" if c in both else c) for c in right.columns if c not in keys])
 
 
+#: The size, a power of two, of intervals without a finite length: one cell holds them all.
+_ENDLESS = 1024
+#: Sizes up to so many powers under the greatest of a class have its cells, so that a point is looked up once for all of them.
+_SPREAD = 2
+
+
+def _spans(df: DataFrame, low: str, high: str, size: str) -> DataFrame:
+    """Intervals with two ends in order, and in `size` the power of two next above their length. It is no less than what doubles
+    tell apart at the farther end: smaller cells would have numbers beyond a long's, and all be its greatest one."""
+    lo, hi = (_number(df, c).cast("double") for c in (low, high))
+    far = F.greatest(F.abs(lo), F.abs(hi))
+    s = F.when(hi - lo < 2.0**-20, -20).otherwise(F.ceil(F.log2(hi - lo)).cast("int"))
+    s = F.when((s < 1023) & (F.pow(F.lit(2.0), s) < hi - lo), s + 1).otherwise(s)  # log2 isn't exact
+    s = F.when(far > 0, F.greatest(s, F.ceil(F.log2(far)).cast("int") - 52)).otherwise(s)
+    s = F.when((far == float("inf")) | (hi - lo == float("inf")), _ENDLESS).otherwise(s)
+    return df.where(lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo) & ~F.isnan(hi) & (lo <= hi)).withColumn(size, s)
+
+
+def _classes(sizes: DataFrame) -> dict[int, int]:
+    """For each size that occurs, a few dozen at most, the one whose cells hold it."""
+    out, top = {}, _ENDLESS
+    for (s,) in sorted(sizes.distinct().collect(), reverse=True):
+        top = s if top == _ENDLESS or top - s > _SPREAD else top
+        out[s] = top
+    return out
+
+
+def _cell(v: Column, size: Column) -> Column:
+    """None where no interval of that size can be."""
+    at = v / F.pow(F.lit(2.0), size)
+    return F.when(size == _ENDLESS, F.lit(0).cast("long")).when(F.abs(at) <= 2.0**53, F.floor(at))
+
+
+def _held(spans: DataFrame, low: str, high: str, size: Column, cell: str) -> DataFrame:
+    """Each interval once for each of the cells that it touches, two at most."""
+    return spans.withColumn(cell, F.explode(F.array_distinct(F.array(*[_cell(_number(spans, c).cast("double"), size) for c in (low, high)]))))
+
+
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, keys: Sequence[str] = (), closed: str = "both", how: str = "inner") -> DataFrame:
     """Rows of `points` with those of `intervals` of equal keys that hold their `point`: low <= point <= high, or less at the
     ends that `closed` (both, left, right, neither) leaves out. `how` left keeps points that lie in none.
 
-    Each interval is held under the power of two next above its length: of the cells of that size it touches two at most. A
-    point is looked up in its one cell of each size that occurs, which are few. So long intervals cost no more than short ones,
-    and the join is by equality of key and cell, with the ends tested on the pairs that meet. Missing keys match each other;
-    rows without a point or an end, NaN among them, and intervals whose ends are in the wrong order, match nothing. Ends may be infinite.
+    Each interval is held under the power of two next above its length, or one a little greater that others have: of the cells of
+    that size it touches two at most. A point is looked up in its one cell of each size in use, which are few. So long intervals
+    cost no more than short ones, and the join is by equality of key and cell, with the ends tested on the pairs that meet. With
+    one size in use it is one join, left or inner. Missing keys match each other; rows without a point or an end, NaN among
+    them, and intervals whose ends are in the wrong order, match nothing. Ends may be infinite.
     """
     _need(points, [point, *keys], "range join")
     _need(intervals, [low, high, *keys], "range join")
     if closed not in ("both", "left", "right", "neither") or how not in ("inner", "left"):
         raise ConfigError("a range join is closed on both, left, right or neither, inner or left")
-    lo, hi = _number(intervals, low).cast("double"), _number(intervals, high).cast("double")
     x = _number(points, point).cast("double")
-    two = lambda s: F.pow(F.lit(2.0), s)
-    size = F.when(hi - lo == float("inf"), 1024).when(hi - lo < 2.0**-20, -20).otherwise(F.ceil(F.log2(hi - lo)).cast("int"))
-    size = F.when((size < 1023) & (two(size) < hi - lo), size + 1).otherwise(size)  # log2 isn't exact
-    cell = lambda v, s: F.when(s < 1024, F.floor(v / two(s))).otherwise(F.lit(0).cast("long"))
-    usable = intervals.where(lo.isNotNull() & hi.isNotNull() & ~F.isnan(lo) & ~F.isnan(hi) & (lo <= hi))
-    sizes = sorted(r[0] for r in usable.select(size.alias("s")).distinct().collect())  # a few dozen: powers of two
     s, c = fresh("_size", points, intervals), fresh("_cell", points, intervals)
-    held = usable.withColumn(s, size).withColumn(c, F.explode(F.array_distinct(F.array(cell(lo, F.col(s)), cell(hi, F.col(s))))))
-    looked = points.where(x.isNotNull() & ~F.isnan(x)).withColumn(s, F.explode(F.lit(sizes).cast("array<int>"))).withColumn(c, cell(x, F.col(s)))
+    spans = _spans(intervals, low, high, s)
+    if closed != "both":
+        spans = spans.where(col(low) < col(high))  # others hold nothing
+    classes = _classes(spans.select(s))
+    tops = sorted(set(classes.values()))
     inside = {"both": (lambda v, a, b: (v >= a) & (v <= b)), "left": (lambda v, a, b: (v >= a) & (v < b)), "right": (lambda v, a, b: (v > a) & (v <= b)), "neither": (lambda v, a, b: (v > a) & (v < b))}[closed]
-    on = _same([F.col(f"l.`{k}`") for k in keys], [F.col(f"r.`{k}`") for k in keys]) & (F.col(f"l.{s}") == F.col(f"r.{s}")) & (F.col(f"l.{c}") == F.col(f"r.{c}")) & inside(F.col(f"l.`{point}`"), F.col(f"r.`{low}`"), F.col(f"r.`{high}`"))
-    met = looked.alias("l").join(held.alias("r"), on)
+    on = _same([F.col(f"l.`{k}`") for k in keys], [F.col(f"r.`{k}`") for k in keys]) & (F.col(f"l.{c}") == F.col(f"r.{c}")) & inside(F.col(f"l.`{point}`"), F.col(f"r.`{low}`"), F.col(f"r.`{high}`"))
     named = _named(points, intervals, keys)
+    if len(tops) == 1:
+        looked = points.withColumn(c, F.when(~F.isnan(x), _cell(x, F.lit(tops[0]))))
+        return looked.alias("l").join(_held(spans, low, high, F.lit(tops[0]), c).alias("r"), on, how).select(*named)
+    known = F.create_map(*[F.lit(n) for pair in classes.items() for n in pair]) if classes else F.lit(None).cast("map<int,int>")
+    held = _held(spans.withColumn(s, known[F.col(s)]), low, high, F.col(s), c)
+    looked = points.where(x.isNotNull() & ~F.isnan(x)).withColumn(s, F.explode(F.lit(tops).cast("array<int>"))).withColumn(c, _cell(x, F.col(s)))
+    met = looked.alias("l").join(held.alias("r"), on & (F.col(f"l.{s}") == F.col(f"r.{s}")))
     if how == "inner":
         return met.select(*named)
     # Whether a point lies in an interval depends on its key and value alone.

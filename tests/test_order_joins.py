@@ -176,3 +176,29 @@ def test_digest_trees_are_kept_and_see_repeats(spark):
     assert changes(got) == changes(incremental.snapshot_changes(old, old.filter("id = 2"), ["id"]))
     for a, b in ((old.limit(0), old), (old, old.limit(0)), (old.limit(0), old.limit(0))):
         assert changes(digests.digest_changes(a, b, ["id"], leaves=16)[0]) == changes(incremental.snapshot_changes(a, b, ["id"]))
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_intervals_without_length_are_spread_over_cells(spark):
+    """At moments of today, cells finer than doubles tell apart had one number for all."""
+    rows = spark.range(3000).select(F.timestamp_micros(F.col("id") * 7_000_000 + 1_700_000_000_000_000).alias("t"))
+    spans = temporal._spans(rows.withColumn("u", F.col("t")), "t", "u", "s")
+    assert temporal._held(spans, "t", "u", F.col("s"), "c").groupBy("c").count().agg(F.max("count")).first()[0] == 1
+    assert temporal.range_join(rows.withColumnRenamed("t", "p"), rows.withColumn("u", F.col("t")), "p", "t", "u").count() == 3000
+    assert temporal.range_join(rows.withColumnRenamed("t", "p"), rows.withColumn("u", F.col("t")), "p", "t", "u", closed="left", how="left").where("t IS NULL").count() == 3000
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_intervals_of_like_sizes_are_one_join(spark, how):
+    rnd = random.Random(8)
+    points = [(rnd.choice(["k", "j", None]), rnd.choice([None, math.nan, 1e300, -math.inf, rnd.uniform(-90, 90)]), n) for n in range(200)]
+    spans = [(rnd.choice(["k", "j", None]), (lo := rnd.uniform(-90, 80)), lo + rnd.choice([3.0, 5.0, 7.9]), n) for n in range(100)]
+    a, b = spark.createDataFrame(points, "k string, x double, n long"), spark.createDataFrame(spans, "k string, lo double, hi double, m long")
+    want = [(p, s) for k, x, p in points for j, lo, hi, s in spans if k == j and x is not None and lo <= x <= hi]
+    alone = [(p, None) for _, _, p in points if p not in {p for p, _ in want}]
+    got = temporal.range_join(a, b, "x", "lo", "hi", ["k"], how=how)
+    assert sorted(((r.n, r.m) for r in got.collect()), key=repr) == sorted(want + (alone if how == "left" else []), key=repr)
+    assert joins(got) == 1
