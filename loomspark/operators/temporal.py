@@ -177,11 +177,26 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], keys: Sequence[str] = ()) -> DataFrame:
-    """Pairs of intervals of equal keys that share a point, ends included: the later one's beginning lies in the earlier one."""
+    """Pairs of intervals of equal keys that share a point, ends included: the later one's beginning lies in the earlier one.
+
+    Where one size of cells does for both sides, a pair meets in the cell of the later beginning, by one join; else each side's
+    beginnings are looked up in the other side's intervals.
+    """
     (a, b), (x, y) = left_ends, right_ends
-    some = lambda df, lo, hi: df.where(col(lo) <= col(hi))
-    right_later = range_join(some(right, x, y), some(left, a, b), x, a, b, keys)
-    left_later = range_join(some(left, a, b), some(right, x, y), a, x, y, keys, closed="right")
+    _need(left, [a, b, *keys], "overlap join")
+    _need(right, [x, y, *keys], "overlap join")
+    s, c, first = (fresh(n, left, right) for n in ("_size", "_cell", "_first"))
+    some, others = _spans(left, a, b, s), _spans(right, x, y, s)
+    tops = set(_classes(some.select(s).union(others.select(s))).values())
+    if len(tops) == 1:
+        size = F.lit(tops.pop())
+        held = lambda df, lo, hi: _held(df, lo, hi, size, c).withColumn(first, _cell(_number(df, lo).cast("double"), size))
+        on = _same([F.col(f"l.`{k}`") for k in keys], [F.col(f"r.`{k}`") for k in keys]) & (F.col(f"l.{c}") == F.col(f"r.{c}")) & (F.col(f"l.{c}") == F.greatest(F.col(f"l.{first}"), F.col(f"r.{first}")))
+        met = (F.col(f"l.`{a}`") <= F.col(f"r.`{y}`")) & (F.col(f"r.`{x}`") <= F.col(f"l.`{b}`"))
+        return held(some, a, b).alias("l").join(held(others, x, y).alias("r"), on & met).select(*_named(left, right, keys))
+    some, others = some.drop(s), others.drop(s)
+    right_later = range_join(others, some, x, a, b, keys)
+    left_later = range_join(some, others, a, x, y, keys, closed="right")
     both = set(left.columns) & (set(right.columns) - set(keys))
     name = lambda c, of, other: f"{c}_{of}" if c in both else c
     # In the first join the sides are the other way round.

@@ -202,3 +202,15 @@ def test_intervals_of_like_sizes_are_one_join(spark, how):
     got = temporal.range_join(a, b, "x", "lo", "hi", ["k"], how=how)
     assert sorted(((r.n, r.m) for r in got.collect()), key=repr) == sorted(want + (alone if how == "left" else []), key=repr)
     assert joins(got) == 1
+
+
+def test_overlaps_of_like_sizes_are_one_join(spark):
+    rnd = random.Random(9)
+    side = lambda most: [(rnd.choice(["a", "b", None]), (lo := rnd.uniform(-60, 60)), lo + rnd.uniform(2.1, most), n) for n in range(90)] + [("a", math.nan, 1.0, 900), ("a", 0.0, math.nan, 901), ("b", None, 2.0, 902), ("b", 2.0, 1.0, 903)]
+    one, two = side(4.0), side(8.0)
+    a, b = spark.createDataFrame(one, "k string, lo double, hi double, n long"), spark.createDataFrame(two, "k string, lo double, y double, n long")
+    good = lambda lo, hi: lo is not None and lo <= hi
+    want = sorted((p, q) for k, lo, hi, p in one for j, x, y, q in two if k == j and good(lo, hi) and good(x, y) and lo <= y and x <= hi)
+    got = temporal.overlap_join(a, b, ("lo", "hi"), ("lo", "y"), ["k"])
+    assert sorted((r.n_left, r.n_right) for r in got.collect()) == want and joins(got) == 1
+    assert got.columns == ["k", "lo_left", "hi", "n_left", "lo_right", "y", "n_right"]
