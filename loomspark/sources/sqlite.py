@@ -9,15 +9,17 @@ one writer.
 
 from __future__ import annotations
 
+import itertools
 import json
 import sqlite3
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 #: SQLite's affinities by a part of the declared type. Fixed values, in the order of its documentation.
 AFFINITIES = [("INT", T.LongType()), ("CHAR", T.StringType()), ("CLOB", T.StringType()), ("TEXT", T.StringType()), ("REAL", T.DoubleType()), ("FLOA", T.DoubleType()), ("DOUB", T.DoubleType())]
@@ -62,7 +64,7 @@ class Slice(InputPartition):
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
         self.path, self.table, self.query, self.schema = options["db_path"], options.get("table_name"), options.get("query"), schema
-        self.parts, self.where, self.limit = int(options.get("partitions", 4)), options.get("where"), options.get("row_limit")
+        self.parts, self.where, self.limit = options.get("partitions"), options.get("where"), options.get("row_limit")
 
     def partitions(self) -> Sequence[InputPartition]:
         cols = ", ".join(quoted(f.name) for f in self.schema.fields) or "NULL"
@@ -79,7 +81,7 @@ class SqliteReader(DataSourceReader):
             return []
         if self.limit:
             return [Slice(f"SELECT {cols} FROM {name} WHERE {some}{self._limited()}")]
-        step = (hi - lo) // self.parts + 1
+        step = (hi - lo) // int(self.parts or max(4, (hi - lo) // _SLICE + 1)) + 1
         return [Slice(f"SELECT {cols} FROM {name} WHERE rowid BETWEEN ? AND ? AND {some}", (a, min(hi, a + step - 1))) for a in range(lo, hi + 1, step)]
 
     def _limited(self) -> str:
@@ -94,6 +96,30 @@ class SqliteReader(DataSourceReader):
                 yield tuple(_fit(v, k) for v, k in zip(row, kinds, strict=True))
 
 
+#: Types whose values are the same in Arrow and in rows, so that whole batches can go.
+_PLAIN = {T.LongType: pa.int64(), T.DoubleType: pa.float64(), T.StringType: pa.string(), T.BinaryType: pa.binary()}
+#: Rows of a batch that is read, the least number that a writer commits at once, and rowids of a slice where no number of slices is given.
+_FETCH, _COMMIT, _SLICE = 10_000, 50_000, 1_000_000
+
+
+def _plain(schema: T.StructType, *more: type) -> bool:
+    return len(schema) > 0 and all(type(f.dataType) in (*_PLAIN, *more) for f in schema.fields)
+
+
+class ArrowReader(SqliteReader):
+    """Reads the same rows in Arrow batches."""
+
+    def read(self, partition: Slice | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:
+            return
+        kinds, names = [f.dataType for f in self.schema.fields], [f.name for f in self.schema.fields]
+        with sqlite3.connect(self.path) as db:
+            rows = db.execute(partition.sql, partition.params)
+            while some := rows.fetchmany(_FETCH):
+                columns = [pa.array(c if isinstance(k, T.LongType) else [_fit(v, k) for v in c], _PLAIN[type(k)]) for c, k in zip(zip(*some, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def _fit(value: object, kind: T.DataType) -> object:
     if value is None:
         return None
@@ -107,7 +133,7 @@ def _fit(value: object, kind: T.DataType) -> object:
 @dataclass
 class Written(WriterCommitMessage):
     table: str
-    batches: int
+    rows: int
 
 
 #: Where a writer leaves its count and errors for the caller, by run.
@@ -130,26 +156,23 @@ class SqliteWriter(DataSourceWriter):
             raise ValueError(f"unknown error strategy {self.strategy!r}")
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
+        return self._filled(tuple(str(v) if v is not None and not isinstance(v, (int, float, str, bytes)) else v for v in row) for row in iterator)
+
+    def _filled(self, rows: Iterator[tuple]) -> WriterCommitMessage:
         names = [f.name for f in self.schema.fields]
-        own, batches, batch = f"_stage_{self.run}_{uuid.uuid4().hex}", 0, []
-        sql = f"INSERT INTO {quoted(own)} VALUES ({', '.join('?' * (len(names) + 1))})"
+        own, n, at_once = f"_stage_{self.run}_{uuid.uuid4().hex}", 0, max(self.batch, _COMMIT)
+        sql = f"INSERT INTO {quoted(own)} VALUES ({', '.join('?' * len(names))})"
         db = sqlite3.connect(self.path, timeout=60)
         try:
             with db:
-                db.execute(f"CREATE TABLE {quoted(own)} ({', '.join(f'c{k}' for k in range(len(names)))}, batch)")
-            for row in iterator:
-                batch.append((*(str(v) if v is not None and not isinstance(v, (int, float, str, bytes)) else v for v in row), batches))
-                if len(batch) == self.batch:
-                    with db:
-                        db.executemany(sql, batch)
-                    batches, batch = batches + 1, []
-            if batch:
+                db.execute(f"CREATE TABLE {quoted(own)} ({', '.join(f'c{k}' for k in range(len(names)))})")
+            while some := list(itertools.islice(rows, at_once)):
                 with db:
-                    db.executemany(sql, batch)
-                batches += 1
+                    db.executemany(sql, some)
+                n += len(some)
         finally:
             db.close()
-        return Written(own, batches)
+        return Written(own, n)
 
     def commit(self, messages: list) -> None:
         kinds = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.ShortType: "INTEGER", T.BooleanType: "INTEGER", T.DoubleType: "REAL", T.FloatType: "REAL", T.BinaryType: "BLOB"}
@@ -162,12 +185,12 @@ class SqliteWriter(DataSourceWriter):
                 db.execute(f"DROP TABLE IF EXISTS {quoted(self.table)}")
             db.execute(f"CREATE TABLE IF NOT EXISTS {quoted(self.table)} ({', '.join(f'{quoted(f.name)} {kinds.get(type(f.dataType), 'TEXT')}' for f in self.schema.fields)})")
             for m in filter(None, messages):
-                move = f"INSERT INTO {quoted(self.table)} ({cols}) SELECT {', '.join(f'c{k}' for k in range(len(names)))} FROM {quoted(m.table)} WHERE batch = ? ORDER BY rowid"
-                for batch in range(m.batches):
+                move = f"INSERT INTO {quoted(self.table)} ({cols}) SELECT {', '.join(f'c{k}' for k in range(len(names)))} FROM {quoted(m.table)} WHERE rowid BETWEEN ? AND ? ORDER BY rowid"
+                for first in range(1, m.rows + 1, self.batch):  # a batch is a range of rowids, so that it's found without a scan
                     for left in (1, 0) if self.strategy == "retry" else (0,):
                         db.execute("SAVEPOINT batch")
                         try:
-                            rows += db.execute(move, (batch,)).rowcount
+                            rows += db.execute(move, (first, first + self.batch - 1)).rowcount
                             db.execute("RELEASE batch")
                             break
                         except sqlite3.Error as e:
@@ -193,6 +216,13 @@ class SqliteWriter(DataSourceWriter):
                 db.execute(f"DROP TABLE {quoted(name)}")
 
 
+class ArrowWriter(SqliteWriter, DataSourceArrowWriter):
+    """Takes the same rows in Arrow batches."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        return self._filled(row for batch in iterator for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+
+
 def outcome(db_path: str, run: str) -> tuple[int, list[str]]:
     """Rows and errors of a finished run, which are forgotten then."""
     with sqlite3.connect(db_path, timeout=60) as db:
@@ -223,10 +253,10 @@ class SqliteSource(DataSource):
         return T.StructType([T.StructField(n, _fitting(declared.get(n), h)) for n, h in zip(names, held, strict=True)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SqliteReader(self.options, schema)
+        return (ArrowReader if _plain(schema) else SqliteReader)(self.options, schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return SqliteWriter(self.options, schema, overwrite)
+        return (ArrowWriter if _plain(schema, T.IntegerType, T.ShortType, T.BooleanType, T.FloatType) else SqliteWriter)(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,9 +1,11 @@
 import http.server
 import json
+import math
 import sqlite3
 import threading
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomspark.sources import readers, sqlite, writers
@@ -95,6 +97,36 @@ def test_sqlite_rows_of_failed_tasks_do_not_count(tmp_path):
     assert sqlite.outcome(db, writer.run) == (3, []) and sqlite.list_tables(db) == ["t"]
 
 
+def test_sqlite_batches_are_found_without_a_scan(tmp_path, monkeypatch):
+    """Each batch's rows are a range: the steps of a commit are in proportion to its rows."""
+    db, schema, steps, own = str(tmp_path / "x.db"), T.StructType([T.StructField("id", T.LongType())]), [], sqlite3.connect
+    writer = sqlite.SqliteWriter({"db_path": db, "table_name": "t", "batch_size": "100"}, schema, False)
+    written = writer.write((k,) for k in range(20_050))
+
+    def counted(*args, **named):
+        out = own(*args, **named)
+        out.set_progress_handler(lambda: steps.append(1), 1000)
+        return out
+
+    monkeypatch.setattr(sqlite3, "connect", counted)
+    writer.commit([written])
+    assert len(steps) < 20_050 * 40 / 1000
+    with own(db) as c:
+        assert c.execute("SELECT count(*), min(id), max(id), count(DISTINCT id) FROM t").fetchone() == (20_050, 0, 20_049, 20_050)
+
+
+def test_sqlite_takes_and_gives_batches_of_all_types(spark, tmp_path):
+    db = str(tmp_path / "x.db")
+    rows = [(1, 2.5, "ä", b"\x00\xff", True, 7), (None, None, None, None, None, None), (-(2**63), math.inf, "", b"", False, -1), (5, math.nan, "x'y", b"z", True, 0)]
+    df = spark.createDataFrame(rows, "a long, b double, `c c` string, d binary, e boolean, f int")
+    for k, some in enumerate((df, df.withColumn("g", F.lit("2024-01-02").cast("date")).withColumn("h", F.lit("1.50").cast("decimal(5,2)")))):
+        writers.write(some, "sqlite", {"db_path": db, "table_name": f"t{k}", "batch_size": 2})
+        got = readers.read(spark, "sqlite", {"db_path": db, "table_name": f"t{k}"}).collect()
+        want = [(a, None if b is None or math.isnan(b) else b, c, d, e if e is None else int(e), f) for a, b, c, d, e, f in rows]
+        assert sorted((tuple(r)[:6] for r in got), key=repr) == sorted(want, key=repr)
+    assert {(r.g, r.h) for r in got} == {("2024-01-02", "1.50")}
+
+
 def test_sqlite_types_come_of_all_values(spark, tmp_path):
     db = str(tmp_path / "x.db")
     with sqlite3.connect(db) as c:
