@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from loomspark.llm import language_id, quality
 
@@ -144,6 +145,17 @@ def test_the_ratio_and_threshold_against_brute_force(spark):
         assert abs(r.score - score[r.doc_id]) < 1e-9 and r.kept == (not r.base_failed and r.score >= model.threshold)
 
 
+def test_all_trusted_documents_count(spark):
+    """None is left out where more are labelled than a sample once held."""
+    docs = spark.range(90_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("one"), F.repeat(F.lit(" two"), 60)).alias("text"))
+    model = quality.fit(docs, docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    part = docs.where("pmod(shiftright(xxhash64(doc_id, 'trusted sample'), 20), 5) <> 0").count()
+    at = [int(quality.ngrams(quality.word_hashes([w]))[0]) for w in ("one", "two")]
+    n, m = part * 61 + quality.BUCKETS, 90_000 * 61 + quality.BUCKETS
+    for b, k in zip(at, (1, 60), strict=True):
+        assert math.isclose(model.log_ratio[b], math.log((part * k + 1) / n * m / (90_000 * k + 1)), abs_tol=1e-9)
+
+
 def test_quality_without_labels_is_the_base_rule(spark):
     df = odd(spark)
     out = quality.judge(df, quality.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
