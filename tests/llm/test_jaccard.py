@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomspark.llm import jaccard, simhash
 
@@ -100,6 +101,23 @@ def test_links_that_no_centre_makes(spark, monkeypatch):
     assert 0 < asked[0] < len(rows) * (len(rows) - 1) // 2
 
 
+def test_common_shingles_are_counted_over_all_texts(spark):
+    """A line that five of 24,000 texts have, and one that all have: a sample of 20,000 counted neither right."""
+    line, rare = "a line that all of them have", "this is in few texts alone"
+    df = spark.range(24_000).select(F.concat_ws(" ", F.lit(line), F.when(F.col("id") % 4_800 == 0, F.lit(rare)), F.sha1(F.col("id").cast("string"))).alias("text"))
+    counts = np.zeros(1 << jaccard.BUCKET_BITS, np.int64)
+    for r in df.collect():
+        np.add.at(counts, jaccard.bucket(jaccard.shingles(r.text)).astype(np.int64), 1)
+    hot, n = jaccard.common_shingles(df, "text")
+    assert (counts[hot.astype(np.int64)] == n).all() and (np.diff(hot.astype(np.int64)) > 0).all()
+    for text, least in ((line, 24_000), (rare, 5)):
+        at = np.searchsorted(hot, jaccard.bucket(jaccard.shingles(text)))
+        assert (hot[at] == jaccard.bucket(jaccard.shingles(text))).all() and (n[at] >= least).all()
+    first = jaccard.prefix(jaccard.shingles(df.first().text), hot, n)
+    assert len(first) and not set(first.tolist()) & set(jaccard.shingles(line).tolist())
+    assert [len(x) for x in jaccard.common_shingles(df.limit(0), "text")] == [0, 0]
+
+
 def test_real_and_odd_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(700)
     for df in (docs, odd(spark).select("doc_id", "text")):
