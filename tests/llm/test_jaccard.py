@@ -101,6 +101,41 @@ def test_links_that_no_centre_makes(spark, monkeypatch):
     assert 0 < asked[0] < len(rows) * (len(rows) - 1) // 2
 
 
+def test_a_large_family_makes_few_pairs(spark, monkeypatch):
+    """400 changed copies of a text that is itself not there: each is compared with few others, and none that is alike is missed."""
+    rnd = random.Random(5)
+    word = lambda: f"w{rnd.randrange(50000)}"
+    base, rows = [word() for _ in range(120)], []
+    for k in range(400):
+        own = list(base)
+        for _ in range(rnd.choice([1, 1, 1, 2, 2, 2, 3, 3, 4])):
+            own[rnd.randrange(120)] = word()
+        rows.append((k, " ".join(own)))
+    made, staged = {}, jaccard.staged
+
+    def counted(df, label, keep=False):
+        out = staged(df, label, keep)
+        if label in ("pairs", "across"):
+            made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id for r in jaccard.without_near_copies(df).collect()), key=repr) == kept_by_hand(rows)
+    assert 0 < made["pairs"] < 8 * len(rows) and 0 < made["across"] < 2 * len(rows), made
+
+
+def test_parity_sketches_differ_in_no_more_than_the_sets():
+    rnd = random.Random(8)
+    for n in (1, 5, 80, 3000):
+        words = [f"w{rnd.randrange(9000)}" for _ in range(n)]
+        for changed in (0, 1, 7, n):
+            other = [f"x{rnd.randrange(9000)}" if rnd.random() * n < changed else w for w in words]
+            a, b = (jaccard.shingles(" ".join(w)) for w in (words, other))
+            bits = sum(int(x).bit_count() for x in (jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64))
+            assert bits <= len(np.setxor1d(a, b)) and (changed or bits == 0)
+
+
 def test_common_shingles_are_counted_over_all_texts(spark):
     """A line that five of 24,000 texts have, and one that all have: a sample of 20,000 counted neither right."""
     line, rare = "a line that all of them have", "this is in few texts alone"
