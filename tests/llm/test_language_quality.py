@@ -161,3 +161,31 @@ def test_quality_without_labels_is_the_base_rule(spark):
     out = quality.judge(df, quality.fit(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
     assert out.where("kept = base_failed").count() == 0 and out.count() == df.count()
     assert quality.judge(df.limit(0), quality.fit(df.limit(0), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))).count() == 0
+
+
+def test_only_texts_that_may_be_trusted_are_moved(spark, monkeypatch):
+    """2,000 texts, 100 of them trusted, whose labels aren't broadcast: the others are counted where they are read."""
+    docs = spark.range(2000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "concat('one two ', id) AS text")
+    labels = spark.range(0, 2000, 20).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    asked, counted = [], quality._counted
+    monkeypatch.setattr(quality, "_counted", lambda df: asked.append(df) or counted(df))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        quality.fit(docs, labels)
+        rows = asked[0].collect()
+        plan, moved = [asked[0]._jdf.queryExecution().executedPlan()], []
+        while plan:
+            x = plan.pop()
+            if x.nodeName() == "Exchange":
+                moved.append(x.metrics().get("shuffleRecordsWritten").get().value())
+            plan += [x.children().apply(k) for k in range(x.children().size())]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 2000 and 60 < sum(bool(r.trusted) for r in rows) < 100
+    assert moved and sum(moved) < 1000, moved
+    some = quality.maybe_in(docs, labels).where("maybe")
+    assert some.join(labels, "doc_id").count() == 100 and some.count() < 130
+    assert quality.maybe_in(docs, labels.limit(0)).where("maybe").count() == 0
