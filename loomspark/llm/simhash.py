@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import release
 from . import jaccard
 from .common import staged, table, unstage
 from .components import components
@@ -180,12 +181,13 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD, plan: list[tuple[list[int], int]] | None = None) -> DataFrame:
-    """(a, b): enough pairs of distinct fingerprints within `radius` to join all that any such pair joins."""
+def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD, plan: list[tuple[list[int], int]] | None = None, apart: bool = False) -> DataFrame:
+    """(a, b): enough pairs of distinct fingerprints within `radius` to join all that any such pair joins. `apart`: they are
+    staged, and each partition's first, so that no plan that the driver holds has more than one partition's joins."""
     if radius % 2:
         raise ValueError("centres need an even radius: those of an odd one would reach a bit too far")
     plan = plan or plan_probes(fps, radius)
-    out = None
+    out, parts = None, []
     for k, (bits, t) in enumerate(plan):
         if t < 0:
             continue
@@ -194,6 +196,7 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD, plan: list[t
         held = fps.select("fp", value.alias("v"))
         sizes = held.groupBy("v").agg(F.count(F.lit(1)).alias("_size"))
         crowded = sizes.where(F.col("_size") > crowd).select("v")
+        crowded = staged(crowded, "crowded") if apart else crowded
         thin = held.join(crowded, "v", "left_anti")
         if t == 0:
             found = thin.alias("x").join(thin.alias("y"), (F.col("x.v") == F.col("y.v")) & (F.col("x.fp") < F.col("y.fp")))
@@ -209,9 +212,20 @@ def links(fps: DataFrame, radius: int = RADIUS, crowd: int = CROWD, plan: list[t
         met = dense.select(F.lit(k).alias("_k"), "fp").distinct().select("fp", F.explode(F.transform(centres, lambda f: F.col("fp").bitwiseXOR(f))).alias("c"))
         least = met.groupBy("c").agg(F.min("fp").alias("_least"), F.count(F.lit(1)).alias("_met")).where("_met > 1").select("c", "_least")
         starred = met.join(least, "c").where("fp <> _least").select(F.col("_least").alias("a"), F.col("fp").alias("b"))
-        found = found.unionByName(starred)
+        if apart:
+            parts.append(found := staged(found, "thin"))
+            if not crowded.isEmpty():
+                parts.append(starred := staged(starred, "starred"))
+                found = found.unionByName(starred)
+            unstage(crowded)
+        else:
+            found = found.unionByName(starred)
         out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    if not apart:
+        return out.distinct()
+    out = staged(out.distinct(), "links")
+    unstage(*parts)
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -232,19 +246,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_pairs(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(a, b), a < b: texts, by hash, that have one fingerprint or that links() joins."""
+    """(a, b), a < b, staged: texts, by hash, that have one fingerprint or that links() joins."""
     texts = docs.select(jaccard.node(text).alias("node"), text)
     rows = staged(fingerprints(texts, text, "node", shingle), "fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("node").alias("first"), F.max("node").alias("_last")), "distinct")
     # Texts of one fingerprint meet at the first of them, and linked fingerprints at the first text of each.
     alike = rows.join(fps.where("first <> _last").select(F.col("fp").alias("_fp"), "first"), F.col("fp") == F.col("_fp")).where("node <> first").select("first", "node")
     of = lambda end: fps.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
-    linked = links(fps.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
-    return alike.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(linked)
+    joined = links(fps.select("fp"), apart=True)
+    linked = joined.join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    out = staged(alike.select(F.col("first").alias("a"), F.col("node").alias("b")).unionByName(linked), "candidates")
+    unstage(rows, fps, joined)
+    release(docs.sparkSession)
+    return out
 
 
 def keep_one_per_component(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies the document with the smallest id stays. Near copies are those of
     the general rule, a Jaccard similarity of 0.8 or more over 5-word shingles, verified on whole sets: of texts that fingerprints
     link, and of texts that fingerprints are too coarse for and that meet at a rare shingle."""
-    return jaccard.without_near_copies(docs, candidates=candidate_pairs(docs))
+    pairs = candidate_pairs(docs)
+    out = jaccard.without_near_copies(docs, candidates=pairs)
+    unstage(pairs)
+    return out

@@ -1,11 +1,12 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from loomspark.llm import components, simhash
+from loomspark.llm import components, jaccard, simhash
 
 from .odd import odd, texts
 
@@ -89,3 +90,26 @@ def test_bits_that_go_together_share_a_partition():
     groups = simhash.group_bits(ties, 3)
     assert sorted(sum(groups, [])) == list(range(64))
     assert all(any({a, b} <= set(g) for g in groups) for a, b in ((0, 40), (1, 41), (2, 42)))
+
+
+def test_no_plan_of_the_pipeline_stage_holds_all_partitions(spark, monkeypatch):
+    rnd, joins = random.Random(8), []
+    rows = [(i, " ".join(f"w{rnd.randrange(300)}" for _ in range(40))) for i in range(60)]
+    rows += [(100 + i, f"{rows[i % 9][1]} {'end' * (i % 3)}") for i in range(40)]
+    counted = lambda df, label, keep=False, put=simhash.staged: joins.append(len(re.findall(r"\bJoin ", df._jdf.queryExecution().optimizedPlan().toString()))) or put(df, label, keep)
+    monkeypatch.setattr(simhash, "staged", counted)
+    monkeypatch.setattr(jaccard, "staged", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.keep_one_per_component(spark, docs, "").count() == 60
+    assert len(joins) > 5 and max(joins) <= 5
+
+
+def test_links_apart_are_the_same(spark):
+    rnd = random.Random(9)
+    base = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(30)]
+    fps = {b ^ (1 << rnd.randrange(63)) ^ (1 << rnd.randrange(63)) for b in base for _ in range(12)} | {*base}
+    fps = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long")
+    for crowd in (3, 1000):  # with and without crowded values
+        plan = simhash.plan_probes(fps)
+        whole, apart = (Counter(simhash.links(fps, crowd=crowd, plan=plan, apart=x).collect()) for x in (False, True))
+        assert whole == apart and len(whole) > 100
